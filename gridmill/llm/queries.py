@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, langid, mixing, mixing_sql, quality, toxicity, urls
+from . import ann, bpe, fingerprints, langid, mixing, mixing_sql, neardup, quality, toxicity, urls
 from .common import is_remainder, table
 
 TOXIC_AT, QUALITY_AT = 0.7, 0.3
@@ -17,6 +17,10 @@ def _predicted(at: float):
     return F.when(F.col("score") >= at, 1).otherwise(0).cast("int").alias("predicted")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = is_remainder("doc_id", 3, 1)
@@ -61,6 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": op1_neardup,
         "op2_toxicity": op2_toxicity,
         "op3_url_filter": op3_url_filter,
         "op4_bpe": op4_bpe,
