@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, langid, mixing, mixing_sql, neardup, quality, toxicity, urls
+from . import ann, bpe, context_mixing, fingerprints, langid, mixing, mixing_sql, neardup, quality, toxicity, urls
 from .common import is_remainder, table
 
 TOXIC_AT, QUALITY_AT = 0.7, 0.3
@@ -55,6 +55,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", _predicted(QUALITY_AT))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents"), ~is_remainder("doc_id", 7, 2))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ann": op5_ann,
         "op6_language": op6_language,
         "op7_quality": op7_quality,
+        "op8_lm_score": op8_lm_score,
         "op9_mix": op9_mix,
         "op10_fingerprints": op10_fingerprints,
     }
