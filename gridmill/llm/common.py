@@ -7,6 +7,7 @@ Python is ``bytes.lower()``.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from zlib import crc32
@@ -49,6 +50,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write to the warehouse, dealt by ``key``: later aggregates and joins on it need no exchange of these rows."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gridmill_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    release(spark)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written out; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
