@@ -36,7 +36,7 @@ from .common import GOLDEN, mixed, pieces, raw, word_hashes
 SAMPLES = 64
 #: Levels of the quantile tables from which the draws are taken.
 LEVELS = 1 << 16
-BLOCK = 2048
+BLOCK = 512
 NOTHING = "-"
 
 
@@ -51,9 +51,9 @@ def gamma_quantiles() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables() -> tuple[np.ndarray, np.ndarray]:
     r = gamma_quantiles()
-    return r, np.log(r), ((np.arange(LEVELS) + 0.5) / LEVELS).astype(np.float32)
+    return r, np.log(r)
 
 
 @lru_cache(maxsize=2)
@@ -73,7 +73,7 @@ def terms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def signature(found: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
     """16 bits of each sample; ``found`` holds at least one term."""
-    r_of, ln_c_of, b_of = tables()
+    r_of, ln_c_of = tables()
     salt = salts(samples)
     best = np.full(samples, np.inf, np.float32)
     chosen = np.zeros(samples, np.uint16)
@@ -85,16 +85,23 @@ def signature(found: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarra
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         fields = h.view(np.uint16).reshape(len(part), samples, 4)
-        r, ln_c, b = r_of[fields[..., 3]], ln_c_of[fields[..., 2]], b_of[fields[..., 1]]
-        t = np.floor(b)  # what it is for weight 1, where ln w = 0
+        r, ln_a = r_of.take(fields[..., 3]), ln_c_of.take(fields[..., 2])
+        gap = fields[..., 1].astype(np.float32)  # t - b + 1; t = 0 for weight 1, where ln w = 0
+        gap *= np.float32(-1 / LEVELS)
+        gap += np.float32(1 - 0.5 / LEVELS)
         heavy = np.flatnonzero(ln_w[a : a + BLOCK])
         if len(heavy):
-            t[heavy] = np.floor(ln_w[a : a + BLOCK][heavy, None] / r[heavy] + b[heavy])
-        ln_a = ln_c - r * (t - b + 1)
+            steps = np.floor(ln_w[a : a + BLOCK][heavy, None] / r[heavy] + (1 - gap[heavy]))
+            gap[heavy] += steps
+        gap *= r
+        ln_a -= gap
         at = ln_a.argmin(0)
         low = ln_a[at, np.arange(samples)]
         better = low < best
-        kept_t = t[at, np.arange(samples)].astype(np.int64).astype(np.uint64)
+        kept_t = np.zeros(samples, np.uint64)
+        if len(heavy):
+            which = np.minimum(np.searchsorted(heavy, at), len(heavy) - 1)
+            kept_t = np.where(heavy[which] == at, steps[which, np.arange(samples)], 0).astype(np.int64).astype(np.uint64)
         code = (mixed(part[at] + kept_t * np.uint64(GOLDEN)) >> np.uint64(48)).astype(np.uint16)
         best = np.where(better, low, best)
         chosen = np.where(better, code, chosen)
