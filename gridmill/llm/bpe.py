@@ -32,8 +32,8 @@ from .common import pieces
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 END = "</w>"
 #: Fragments a worker remembers before it starts afresh.
-CACHE = 400_000
-BATCH_BYTES = 4_000_000
+CACHE = 250_000
+BATCH_BYTES = 1_000_000
 
 
 def byte_letters() -> list[str]:

@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: LanguageModels) -> DataFrame:
     schema = extended(docs, lang_pred="string", score="double", rejected="boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2_000_000):
+        for b in pieces(batches, 1_000_000):
             lang, score, rejected = shared.value.judge(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names)
 

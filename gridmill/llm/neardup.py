@@ -81,7 +81,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_key (of equal sets), roots (the trees' first tokens), sig (16 bits of each minwise value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 4_000_000):
+        for b in pieces(batches, 1_000_000):
             sizes, keys, roots, sigs = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, words)
@@ -191,7 +191,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2_000_000):
+        for b in pieces(batches, 1_000_000):
             found = [shingles(t, words) for t in b.column("text").to_pylist()]
             right = pa.array([key_of(s) == k for s, k in zip(found, b.column("set_key").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("rep").filter(right), pa.array([s.tobytes() for s in found], pa.binary()).filter(right)], ["rep", "codes"])

@@ -101,7 +101,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPL
     """``learn``: a condition on doc_id that holds for the rows whose labels may be learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2_000_000):
+        for b in pieces(batches, 500_000):
             found = [np.unique(features(t, bits), return_counts=True) for t in b.column("text").to_pylist()]
             cols = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in (([f[0] for f in found], np.uint32), ([f[1] for f in found], np.float32))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *cols], ["doc_id", "label", "ids", "counts"])

@@ -100,7 +100,7 @@ def collected_terms(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray,
     """Term sets and labels of a bounded sample, as flat arrays, in the order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 4_000_000):
+        for b in pieces(batches, 1_000_000):
             ids = [term_ids(t, bits).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(ids, pa.binary())], ["doc_id", "label", "ids"])
 
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, model, scores, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in pieces(batches, 2_000_000):
+        for b in pieces(batches, 500_000):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(m, b.column("text").to_pylist()), pa.float64())], names)
 
     return docs.mapInArrow(run, schema)
