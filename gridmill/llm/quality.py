@@ -62,7 +62,7 @@ class SubwordClassifier:
     def fit(self, ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float = 0.5) -> SubwordClassifier:
         """``ids``, ``shares``: the distinct features of each row and their share of all its features."""
         base = float(labels.mean()) if len(labels) else 0.5
-        if not 0 < base < 1:
+        if not len(labels) or not 0 < base < 1:
             self.bias = float(np.log((base + 1e-4) / (1 - base + 1e-4))) if len(labels) else 0.0
             return self
         rng = np.random.default_rng(self.seed)
