@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from gridmill.functions import text as T
 from gridmill.operators import analysis as A
 from gridmill.operators import evaluation as E
+from gridmill.operators import export as O
 from gridmill.operators import generation as N
+from gridmill.operators import layouts as L
+from gridmill.operators import routing as R
 from gridmill.operators import scoring as S
 from gridmill.operators import structure as G
 from gridmill.sources import fixtures as X
 from gridmill.sources.html import parse_tables
+from gridmill.streaming import traces as V
 
-from .oracle import ORACLE
+from . import oracle, oracle_made
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHOWN = ["table_id", "rows", "ordinal", "row", "col", "rowspan", "colspan", "text"]
@@ -146,6 +150,62 @@ def round_trip(cells: DataFrame) -> DataFrame:
     return parse_tables(G.build_html(cells), "table_id", "html").select("table_id", "row", "col", "rowspan", "colspan", "tag", "text")
 
 
+def planned(spark: SparkSession, d: str) -> DataFrame:
+    """A plan an order: every structure, none, and simple tables in turn."""
+    k = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, (*X.STRUCTURES, None)))
+    asked = X.load(spark, d, "orders").select(k.alias("table_id"), F.element_at(kinds, (k % 8 + 1).cast("int")).alias("structure"), (k % 9 == 0).alias("simple"))
+    return L.chosen_layout(L.plan_shapes(asked, "p", (3, 9), (2, 9)), "p")
+
+
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    return L.with_body(L.with_headers(X.with_plan(L.layout_cells(planned(spark, d), "p"))), "p")
+
+
+def token_html(cells: DataFrame) -> DataFrame:
+    return O.token_cells(cells).select("table_id", O.markup(F.col("tokens"), F.col("texts")).alias("html"))
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    held = token_html(G.valid_cells(X.grid_cells(spark, d)))
+    m = one_meta(spark, d).select("table_id", "image").join(held, "table_id")
+    out = O.chat_samples(m, "Read the table.", O.target_text("html", F.col("html"), F.lit("[]"), F.lit("{}")), F.col("image"))
+    return out.select("table_id", F.col("messages")[0]["content"].alias("ask"), F.col("messages")[1]["content"].alias("answer"), F.col("images")[0].alias("image"))
+
+
+def clip_frames(cells: DataFrame) -> DataFrame:
+    b = cells.select("table_id", "ordinal", (F.col("col") * 80 + 30).alias("x1"), (F.col("row") * 24 + 40).alias("y1"), ((F.col("col") + F.col("colspan")) * 80 + 30).alias("x2"), ((F.col("row") + F.col("rowspan")) * 24 + 40).alias("y2"))
+    return O.clipped(b, "table_id", 5)
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    result = lambda ok, name: F.struct(ok.alias("ok"), F.concat(F.lit(name), F.col("event_id").cast("string")).alias("value"), F.when(~ok, "no answer").alias("reason"))
+    b = R.Backends()
+    b.register("model", ("body_generation",), lambda df: result(F.col("event_id") % 3 == 0, "m"))
+    b.register("judge", ("semantic_judging",), lambda df: result(F.lit(True), "j"))
+    b.register("rule", ("body_generation",), lambda df: result(F.col("event_id") % 7 != 0, "r"))
+    told = b.route(X.load(spark, d, "events").select("event_id"), "body_generation", "model", "judge", "rule")
+    return told.select("event_id", "value", "backend", "status", F.size("attempts").alias("attempts"))
+
+
+def attempts(spark: SparkSession, d: str) -> DataFrame:
+    e = X.load(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 3 != 0).alias("ok"))
+    return R.attempts_needed(e, "user_id", "event_id", 4, 12)
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    m = files(spark, d)
+    cells = m.select("file", F.explode(F.sequence(F.lit(1), F.col("k") % 3 + 1)).alias("i"))
+    sizes = m.where("k % 47 <> 0").select("file", (F.col("k") % 11 != 0).alias("ok"), F.when(F.col("k") % 5 == 0, 0).otherwise(480).alias("width"), F.lit(240).alias("height"))
+    return O.image_issues(cells, sizes)
+
+
+def declared(spark: SparkSession, d: str) -> DataFrame:
+    cells = X.grid_cells(spark, d)
+    n = cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
+    return O.count_mismatches(n.select("table_id", F.when(F.col("table_id") % 4 != 0, F.col("n") + F.col("table_id") % 3).alias("declared")), cells)
+
+
 QUERIES: dict[str, Query] = {
     "validate_tables": on_cells(G.validate),
     "table_validity": on_cells(G.validity),
@@ -197,6 +257,21 @@ QUERIES: dict[str, Query] = {
     "bounded_history": lambda s, d: A.last_entries(X.load(s, d, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn"),
     "preferences": lambda s, d: A.latest_values(X.load(s, d, "conversations"), ["conv_id", "role"], "text", "turn"),
     "gen_requests": lambda s, d: N.requests(s, 1000),
+    "plan_shapes": lambda s, d: planned(s, d).select("table_id", "rows", "cols", "layout", F.coalesce("layout_error", F.lit("")).alias("layout_error")),
+    "layout_cells": lambda s, d: L.layout_cells(planned(s, d), "p"),
+    "header_texts": lambda s, d: L.with_headers(X.with_plan(L.layout_cells(planned(s, d), "p"))).where("role <> 'body'").select("table_id", "ordinal", "text"),
+    "body_values": lambda s, d: generated(s, d).select("table_id", "ordinal", "text"),
+    "generated_validity": lambda s, d: G.validate(generated(s, d)),
+    "fallback_templates": lambda s, d: N.fallback_templates(s, 1000).select("id", "domain", "scenario", "topic", F.array_join("headers", ",").alias("headers")),
+    "ablation_requests": lambda s, d: N.ablation_requests(s, 200),
+    "token_html": on_cells(token_html),
+    "chat_samples": samples,
+    "clip_frames": on_cells(clip_frames),
+    "routed_values": routed,
+    "attempts_needed": attempts,
+    "image_issues": images,
+    "count_mismatches": declared,
+    "trace_windows": lambda s, d: V.windowed(steps(s, d)),
 }
 
 
@@ -205,4 +280,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    return {k: v for k, v in (oracle.ORACLE | oracle_made.ORACLE).items() if k in QUERIES}
