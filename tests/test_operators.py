@@ -12,7 +12,7 @@ from gridmill.plans import registry
 from gridmill.sources.html import parse
 
 SMALL = "/root/testdata/sf0.001"
-FAST = ["validate_tables", "table_facts", "structure_signature", "fallback_grid", "build_html", "cell_scores", "batch_report", "missing_rows", "export_split", "box_issues", "message_classes", "trace_summary", "over_budget", "correlations", "gen_requests"]
+FAST = ["validate_tables", "table_facts", "structure_signature", "fallback_grid", "build_html", "cell_scores", "batch_report", "missing_rows", "export_split", "box_issues", "message_classes", "trace_summary", "over_budget", "correlations", "gen_requests", "layout_cells", "body_values", "fallback_templates", "token_html", "routed_values", "attempts_needed", "image_issues", "trace_windows"]
 
 
 def same(value):
