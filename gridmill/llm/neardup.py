@@ -4,16 +4,16 @@ Documents are sets of 5-word shingles (64-bit hashes); two are linked at Jaccard
 classes are the connected components of the links.
 
 1. Documents with equal sets are one class, named after its smallest doc_id; only classes go on.
-2. Every class has ``TREES * DEPTH`` minwise values.  In each of TREES independent trees the root branches by one
-   chosen minwise token: classes that share it are a node.  A small node (at most ``small`` classes) is compared
-   exhaustively on the minwise values.  A larger node is compared with its first class, and all its classes
-   branch further, each by one or two further chosen tokens (4/3 on average, the inverse of the threshold), down
-   to DEPTH levels.  A pair of similarity 0.75 misses a root with probability 1/4, so TREES = 12 trees miss it
-   with 6e-8, and further levels are only met where very many classes share a token.
+2. Every class has SAMPLES minwise values.  In each of TREES independent trees classes that share one chosen minwise
+   token are a node.  A small node (at most ``small`` classes) is compared exhaustively on the minwise values; a
+   larger node is compared with its first class, then exhaustively in blocks (step 4).  A pair of similarity 0.75
+   misses a tree with probability 1/4, so TREES = 12 trees miss it with 6e-8, however large its nodes are.
 3. Each class proposes to the smallest similar class of each node first; those links are checked on the full
-   sets, then every other proposed pair whose two sides are not yet in one component.  No link that could join
-   two components is left out.
-4. Components by repeatedly taking the smallest label around and jumping (tables in the shared folder).
+   sets, then every other pair of a small node whose two sides are not yet in one component.
+4. Large nodes are dealt in pairs of blocks and compared in passes, the likeliest pairs first (PASSES): what one
+   pass joins, the next need not check.  All pairs of fitting sizes whose sides are still apart are compared, so
+   no link that could join two components is left out.
+5. Components by repeatedly taking the smallest label around and jumping (tables in the shared folder).
 
 Minwise values travel as 16 bits each and pre-select pairs far below the threshold (mean minus five standard
 deviations), so full sets meet only where they are likely to link.  Hot classes are salted.
@@ -37,10 +37,13 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, mixed, pieces, raw, stored, word_hashes
 
 WORDS, PERCENT = 5, 75
-TREES, DEPTH = 12, 4
+TREES, SAMPLES = 12, 48
 SMALL = 48
 #: Estimates below this are not checked: 0.75 minus five standard deviations of a mean of 48 samples.
-FLOOR = 0.75 - 5 * (0.75 * 0.25 / (TREES * DEPTH)) ** 0.5
+FLOOR = 0.75 - 5 * (0.75 * 0.25 / SAMPLES) ** 0.5
+#: Least estimates of the passes over large nodes, and the classes of one of their blocks.
+PASSES = (0.75, 0.66, FLOOR)
+BLOCK = 2048
 SALT_ROWS = 256
 
 
@@ -57,7 +60,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(code)
 
 
-def minwise(codes: np.ndarray, samples: int = TREES * DEPTH) -> np.ndarray:
+def minwise(codes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """The smallest of ``samples`` hashes over a set."""
     out = np.full(samples, np.iinfo(np.uint64).max, np.uint64)
     salt = mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(GOLDEN))
@@ -70,13 +73,6 @@ def minwise(codes: np.ndarray, samples: int = TREES * DEPTH) -> np.ndarray:
     return out
 
 
-def branches(tree: int, level: int) -> list[int]:
-    """The minwise tokens by which a tree branches at a level below the root: one, or two in a third of the cases."""
-    pick = mixed(np.array([tree * 64 + level], np.uint64) * np.uint64(GOLDEN))[0]
-    first = TREES + (level - 1) * TREES + tree
-    return [first] if int(pick) % 3 else [first, TREES + (level - 1) * TREES + (tree + 1) % TREES]
-
-
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_key (of equal sets), roots (the trees' first tokens), sig (16 bits of each minwise value)."""
 
@@ -104,7 +100,7 @@ PAIRS = "a long, b long, first boolean"
 
 
 def signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), TREES * DEPTH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SAMPLES)
 
 
 def similar(sigs: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -159,26 +155,71 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), "sig", F.col("leader.sig").alias("leader_sig")).mapInArrow(run, PAIRS)
 
 
-def proposals(classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct (a, b, first) of all trees and levels; ``classes``: rep, roots, sig."""
-    found = None
-    members = classes.select("rep", "sig", F.posexplode("roots").alias("tree", "root")).select("tree", F.xxhash64("tree", "root").alias("node"), "rep", "sig")
-    for level in range(1, DEPTH + 1):
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", (F.col("n") > small).alias("large"))
-        # Rows alone in their node go no further.
-        members = stored(members.join(sizes, "node"))
-        pairs = node_pairs(members.where("not large"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if members.where("large").isEmpty():
-            break
-        found = found.unionByName(leader_pairs(members.where("large")))
-        if level == DEPTH:
-            break
-        choice = F.create_map(*[x for t in range(TREES) for x in (F.lit(t), F.array(*map(F.lit, branches(t, level))))])
-        token = F.substring("sig", F.col("token") * 2 + 1, F.lit(2))
-        large = members.where("large").withColumn("token", F.explode(choice[F.col("tree")]))
-        members = large.select("tree", F.xxhash64("node", "token", token).alias("node"), "rep", "sig")
-    return stored(found.groupBy("a", "b").agg(F.max("first").alias("first")))
+def block_pairs(members: DataFrame, least: float, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b) of large nodes: every two classes of a node that are apart, of fitting sizes and of an estimate of
+    ``least`` or more; ``members``: node, n, rep, sig, n_shingles, label.
+
+    A node of many blocks is dealt as pairs of them; no task needs a whole node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("node", "low", "high")), strict=True))
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else [0]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if keys[a] != key:
+                    yield from compared(held)
+                    key, held = keys[a], []
+                held.append(batch.slice(a, z - a))
+        yield from compared(held)
+
+    def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in held) < 2:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        rows = rows[0] if len(rows) == 1 else pa.concat_batches(rows)
+        sizes, names, labels, own = (np.asarray(rows.column(c)) for c in ("n_shingles", "rep", "label", "own"))
+        order = np.argsort(sizes, kind="stable")
+        sizes, names, labels, own = sizes[order], names[order], labels[order], own[order]
+        sigs = signatures(rows.column("sig"))[order].T
+        within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        left = np.arange(len(order)) if within else np.flatnonzero(own == rows.column("low")[0].as_py())
+        cols, of = np.ascontiguousarray(sigs[:, left]), (sizes[left], names[left], labels[left])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for j in range(len(order)) if within else np.flatnonzero(own == rows.column("high")[0].as_py()).tolist():
+            lo = int(np.searchsorted(of[0], -(-percent * int(sizes[j]) // 100)))
+            hi = j if within else int(np.searchsorted(of[0], 100 * int(sizes[j]) // percent, "right"))
+            at = lo + np.flatnonzero(of[2][lo:hi] != labels[j])
+            if not len(at):
+                continue
+            part = cols[:, lo:hi] if len(at) == hi - lo else cols[:, at]
+            hit = at[(part == sigs[:, j, None]).view(np.uint8).sum(0, dtype=np.uint8) >= least * SAMPLES]
+            if len(hit):
+                found.append((of[1][hit], np.full(len(hit), names[j])))
+        if found:
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "sig", "n_shingles", "label")
+    met = dealt.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def proposals(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, first) of all trees, and the members of large nodes (node, n, rep, sig, n_shingles) for ``block_pairs``;
+    ``classes``: rep, roots, sig, n_shingles.
+    """
+    members = classes.select("rep", "sig", "n_shingles", F.posexplode("roots").alias("tree", "root")).select(F.xxhash64("tree", "root").alias("node"), "rep", "sig", "n_shingles")
+    # Rows alone in their node go no further.
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(members.join(sizes, "node"))
+    large = members.where(F.col("n") > small)
+    found = node_pairs(members.where(F.col("n") <= small)).unionByName(leader_pairs(large))
+    return stored(found.groupBy("a", "b").agg(F.max("first").alias("first"))), large
 
 
 def key_of(codes: np.ndarray) -> bytes:
@@ -245,19 +286,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     """doc_id, n_shingles, component_id, kept: a row for every row of ``docs`` (doc_id, text)."""
     sets = stored(document_sets(docs, words))
     full = sets.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    every = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("sig").alias("sig")))
+    every = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
     # Of an id with several texts the set of the smallest key stands for it in the join.
     one = Window.partitionBy("rep").orderBy("set_key")
     classes = every.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    pairs = proposals(classes.select("rep", "roots", "sig"))
+    pairs, large = proposals(classes.select("rep", "roots", "sig", "n_shingles"))
     links = stored(linked(pairs.where("first").select("a", "b"), classes, docs, percent, words))
     labels = components(links)
-    label_of = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"label_{c}"))
+    label_of = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: E731, the latest labels
     apart = pairs.where("not first").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
     apart = stored(apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
     if not apart.isEmpty():
         links = links.unionByName(stored(linked(apart, classes, docs, percent, words)))
         labels = components(links)
+    for least in () if large.isEmpty() else PASSES:
+        now = large.join(label_of("rep"), "rep", "left").withColumn("label", F.coalesce("label_rep", "rep"))
+        apart = stored(block_pairs(now, least, percent))
+        if not apart.isEmpty():
+            links = links.unionByName(stored(linked(apart, classes, docs, percent, words)))
+            labels = components(links)
     named = every.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component", "doc_id")

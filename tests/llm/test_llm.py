@@ -43,6 +43,22 @@ def test_neardup_empty(spark):
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_neardup_star_of_many_copies(spark):
+    """Copies that are like their original only, which has the largest id: all are one group."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(254)]
+    texts = []
+    for i in range(400):
+        own = list(words)
+        for k in rng.choice(50, 6, replace=False).tolist():
+            own[5 * k + 2] = f"c{i}x{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), " ".join(words))], "doc_id long, text string")
+    sets = [set(neardup.shingles(t).tolist()) for t in [*texts, " ".join(words)]]
+    assert min(len(s & sets[-1]) / len(s | sets[-1]) for s in sets[:-1]) >= 0.75
+    assert {r.component_id for r in neardup.near_duplicates(docs).collect()} == {0}
+
+
 @pytest.mark.parametrize("train,score", [(toxicity.train_toxicity, toxicity.score_toxicity), (quality.train_quality, quality.score_quality)])
 def test_classifiers(spark, train, score):
     docs = documents(spark).drop("score")
