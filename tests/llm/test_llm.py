@@ -132,6 +132,12 @@ def test_lm_base_and_order(spark):
         assert abs(r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words)) < 1e-6 and r.score < 0
 
 
+def test_lm_contexts_seldom_share_a_slot():
+    bits = context_mixing.Bits([f"{k:x}".encode() for k in np.random.default_rng(3).integers(1 << 40, 1 << 44, 4000).tolist()], context_mixing.ByteCode(np.zeros(256)))
+    contexts = len(set(zip(bits.hashes[-1][bits.byte].tolist(), bits.salt.tolist(), strict=True)))
+    assert contexts > 150_000 and len(np.unique(bits.slots(context_mixing.INPUTS - 1))) > 0.8 * contexts
+
+
 def test_mix(spark):
     docs = documents(spark)
     got = mixing.mix_sources(docs).collect()
