@@ -3,25 +3,29 @@
 Documents are sets of 5-word shingles (64-bit hashes); two are linked at Jaccard similarity >= 0.75, and the
 classes are the connected components of the links.
 
-1. Documents with equal sets are one class, named after its smallest doc_id; only classes go on.
-2. Every class has SAMPLES minwise values.  In each of TREES independent trees classes that share one chosen minwise
-   token are a node.  A small node (at most ``small`` classes) is compared exhaustively on the minwise values; a
-   larger node is compared with its first class, then exhaustively in blocks (step 4).  A pair of similarity 0.75
-   misses a tree with probability 1/4, so TREES = 12 trees miss it with 6e-8, however large its nodes are.
-3. Each class proposes to the smallest similar class of each node first; those links are checked on the full
-   sets, then every other pair of a small node whose two sides are not yet in one component.
-4. Large nodes are dealt in pairs of blocks and compared in passes, the likeliest pairs first (PASSES): what one
-   pass joins, the next need not check.  All pairs of fitting sizes whose sides are still apart are compared, so
-   no link that could join two components is left out.
+1. Documents with equal sets are one class; only classes go on.
+2. Each of TREES independent trees branches the classes by one chosen minwise token of the whole set; those that
+   share it are a node.  A small node (at most SMALL classes) is compared exhaustively on the classes' minwise
+   samples.  In a larger node the first class is compared with all others.
+3. Pairs that pass are checked on full sets and give links; links give components.  Pairs whose two sides are in
+   one component already need no check.  A node whose pairs of different components are few (PAIRS_A_NODE) is
+   compared exhaustively in blocks, the likeliest pairs first (PASSES).
+4. Any other node branches on: each of its classes goes to FANOUT children by fresh minwise tokens, drawn from its
+   whole set by hashes of the node's own, and steps 2 and 3 follow.  Nodes still large at level DEPTH are compared
+   exhaustively in blocks, however large they are.
 5. Components by repeatedly taking the smallest label around and jumping (tables in the shared folder).
 
-Minwise values travel as 16 bits each and pre-select pairs far below the threshold (mean minus five standard
-deviations), so full sets meet only where they are likely to link.  Hot classes are salted.
+A pair of similarity 0.75 shares a root with probability 3/4.  Of two children a node it shares at least one with
+probability 15/16 and 1.5 on average, so it meets in some node of every depth with at least 0.88 of its
+probability at the root: the 12 trees miss it with 6e-8 where nodes are small or exhausted at the root, and with
+3e-6 where each has to branch without end.  Minwise samples travel as 16 bits each and only drop pairs far below
+the threshold (mean minus five standard deviations: 3e-7), so full sets meet only where they are likely to link.
 
 Defined results: a null text or one without words has an empty set, n_shingles 0, and is linked with nothing;
-with fewer than five words the whole sequence is the one shingle; rows that share a doc_id are one document (if
-their sets differ, that of the smallest key stands for it in the join); a null doc_id belongs to the class of its
-set if another document has the same, is linked with nothing else, and is kept; other columns are not read.
+with fewer than five words the whole sequence is the one shingle; rows that share a doc_id are judged each by its
+own text; a null doc_id belongs to the class of its set: it takes that class's component if a document with an id
+has the same set and is then not kept, else its component is null and it is kept; an empty table gives no rows;
+other columns are not read.  Classes are named by 64 bits of their set's digest (of 10^9 some two coincide with 0.03).
 """
 
 from __future__ import annotations
@@ -34,17 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mixed, pieces, raw, stored, word_hashes
+from .common import GOLDEN, discard, mixed, pieces, raw, stored, word_hashes
 
 WORDS, PERCENT = 5, 75
 TREES, SAMPLES = 12, 48
-SMALL = 48
+#: Classes of a small node; children of a class in a large one; the last level of branching.
+SMALL, FANOUT, DEPTH = 48, 2, 6
+#: A node with at most so many pairs in different components is compared exhaustively rather than branched.
+PAIRS_A_NODE = 2_000_000
 #: Estimates below this are not checked: 0.75 minus five standard deviations of a mean of 48 samples.
 FLOOR = 0.75 - 5 * (0.75 * 0.25 / SAMPLES) ** 0.5
 #: Least estimates of the passes over large nodes, and the classes of one of their blocks.
 PASSES = (0.75, 0.66, FLOOR)
 BLOCK = 2048
-SALT_ROWS = 256
+SALT_ROWS, LEADER_ROWS = 256, 4096
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -74,7 +81,7 @@ def minwise(codes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_key (of equal sets), roots (the trees' first tokens), sig (16 bits of each minwise value)."""
+    """doc_id, text_hash, n_shingles, set_key (of equal sets), roots (the trees' first tokens), sig (16 bits of each minwise value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1_000_000):
@@ -91,9 +98,13 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 keys.append(key_of(s))
                 roots.append(m[:TREES].view(np.int64))
                 sigs.append((m >> np.uint64(17)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "roots", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "roots", "sig"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, roots array<long>, sig binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, roots array<long>, sig binary")
 
 
 PAIRS = "a long, b long, first boolean"
@@ -141,7 +152,7 @@ def node_pairs(members: DataFrame) -> DataFrame:
 def leader_pairs(members: DataFrame) -> DataFrame:
     """(a, b, first) of large nodes: the smallest class of each against all others of the node.
 
-    A join that Spark may split where a node is hot; no task needs a whole node.
+    A hot node is salted; no task needs a whole node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +161,10 @@ def leader_pairs(members: DataFrame) -> DataFrame:
             a, b = batch.column("a").filter(hit), batch.column("b").filter(hit)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(np.ones(len(a), bool))], ["a", "b", "first"])
 
-    leaders = members.groupBy("node").agg(F.min(F.struct("rep", "sig")).alias("leader"))
-    met = members.join(leaders, "node").where(F.col("rep") > F.col("leader.rep"))
+    salts = F.ceil(F.col("n") / LEADER_ROWS).cast("int")
+    leaders = members.groupBy("node").agg(F.min(F.struct("rep", "sig")).alias("leader"), F.max(salts).alias("salts"))
+    leaders = leaders.select("node", "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = members.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(leaders, ["node", "salt"]).where(F.col("rep") > F.col("leader.rep"))
     return met.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), "sig", F.col("leader.sig").alias("leader_sig")).mapInArrow(run, PAIRS)
 
 
@@ -209,17 +222,35 @@ def block_pairs(members: DataFrame, least: float, percent: int = PERCENT, block:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def proposals(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b, first) of all trees, and the members of large nodes (node, n, rep, sig, n_shingles) for ``block_pairs``;
-    ``classes``: rep, roots, sig, n_shingles.
+def rooted(classes: DataFrame) -> DataFrame:
+    """(node, rep, sig, n_shingles): every class in the first node of each tree; ``classes``: rep, roots, sig, n_shingles."""
+    members = classes.select("rep", "sig", "n_shingles", F.posexplode("roots").alias("tree", "root"))
+    return members.select(F.xxhash64("tree", "root").alias("node"), "rep", "sig", "n_shingles")
+
+
+def branched(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS, fanout: int = FANOUT) -> DataFrame:
+    """(node, rep, sig, n_shingles) of the children of nodes: each class by fresh minwise tokens of its whole set;
+    ``members``: node, rep; ``classes``: rep, doc_id, set_key, sig, n_shingles.
     """
-    members = classes.select("rep", "sig", "n_shingles", F.posexplode("roots").alias("tree", "root")).select(F.xxhash64("tree", "root").alias("node"), "rep", "sig", "n_shingles")
-    # Rows alone in their node go no further.
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(members.join(sizes, "node"))
-    large = members.where(F.col("n") > small)
-    found = node_pairs(members.where(F.col("n") <= small)).unionByName(leader_pairs(large))
-    return stored(found.groupBy("a", "b").agg(F.max("first").alias("first"))), large
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1_000_000):
+            nodes, at = [], []
+            for k, (t, key, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "set_key", "nodes")), strict=True)):
+                codes = shingles(t, words)
+                if key_of(codes) != key:
+                    continue
+                for node in own:
+                    for j in range(fanout):
+                        salt = mixed(np.array([node & 0xFFFFFFFFFFFFFFFF], np.uint64) * np.uint64(GOLDEN) + np.uint64(j + 1))
+                        nodes.append(int(mixed(mixed(codes ^ salt).min()[None] + salt).view(np.int64)[0]))
+                        at.append(k)
+            of = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(b.column(c).take(of) for c in ("rep", "sig", "n_shingles"))], ["node", "rep", "sig", "n_shingles"])
+
+    wanted = members.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(classes, "rep")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    return own.select("rep", "sig", "n_shingles", "set_key", "nodes", "text").mapInArrow(run, "node long, rep long, sig binary, n_shingles long").distinct()
 
 
 def key_of(codes: np.ndarray) -> bytes:
@@ -227,9 +258,9 @@ def key_of(codes: np.ndarray) -> bytes:
 
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold; ``classes``: rep, set_key."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "set_key"), "rep")
-    own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold; ``classes``: rep, doc_id, set_key."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "doc_id", "set_key"), "rep")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("rep", "set_key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1_000_000):
@@ -254,8 +285,8 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    # Rows that share an id but not the set of its class are left out here.
-    full = own.mapInArrow(sets, "rep long, codes binary")
+    # Rows that share an id but not the set of the class are left out, and of those with the same text all but one.
+    full = own.distinct().mapInArrow(sets, "rep long, codes binary")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     right = salted.join(full, salted["b"] == full["rep"]).select("a", "b", "salt", "codes")
@@ -276,50 +307,113 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         lower = labels.join(around, "rep", "left").select("rep", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = labels.select(F.col("rep").alias("low"), F.col("label").alias("far"))
         fresh = stored(lower.join(jump, "low", "left").select("rep", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label")))
-        labels = fresh.select("rep", "label")
+        discard(labels)
+        labels = fresh
         if fresh.where("old <> label").isEmpty():
+            discard(edges)
             return labels
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for every row of ``docs`` (doc_id, text)."""
+def joined(classes: DataFrame, docs: DataFrame, percent: int, words: int, small: int, depth: int, pairs_a_node: int) -> DataFrame | None:
+    """(rep, label) of the classes that are linked with others, or None; ``classes``: rep, doc_id, set_key, roots, sig, n_shingles."""
+    links: list[DataFrame] = []
+    labels: DataFrame | None = None
+
+    def label_of(name: str) -> DataFrame:
+        return labels.select(F.col("rep").alias(name), F.col("label").alias(f"label_{name}"))
+
+    def checked(pairs: DataFrame) -> None:
+        """Take up the links among ``pairs`` (a, b), without those whose sides are in one component already."""
+        nonlocal labels
+        if labels is not None:
+            pairs = pairs.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+            pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+        pairs = stored(pairs)
+        if not pairs.isEmpty():
+            links.append(stored(linked(pairs, classes, docs, percent, words)))
+            every = links[0]
+            for more in links[1:]:
+                every = every.unionByName(more)
+            old, labels = labels, components(every)
+            discard(old)
+        discard(pairs)
+
+    def labelled(members: DataFrame) -> DataFrame:
+        if labels is None:
+            return members.withColumn("label", F.col("rep"))
+        return members.join(label_of("rep"), "rep", "left").withColumn("label", F.coalesce("label_rep", "rep")).drop("label_rep")
+
+    members = rooted(classes)
+    for level in range(depth + 1):
+        # Rows alone in their node go no further.
+        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        held = stored(members.join(sizes, "node"))
+        large = held.where(F.col("n") > small)
+        found = node_pairs(held.where(F.col("n") <= small)).unionByName(leader_pairs(large))
+        pairs = stored(found.groupBy("a", "b").agg(F.max("first").alias("first")))
+        checked(pairs.where("first").select("a", "b"))
+        checked(pairs.where("not first").select("a", "b"))
+        discard(pairs)
+        parts = labelled(large).groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+        apart = parts.groupBy("node").agg((F.sum("c").cast("double") * F.sum("c") / 2 - F.sum(F.col("c").cast("double") * F.col("c")) / 2).alias("apart")).where("apart > 0")
+        rest = stored(large.join(apart, "node"))
+        discard(held)
+        if rest.isEmpty():
+            discard(rest)
+            break
+        last = level == depth
+        short = rest if last else rest.where(F.col("apart") <= pairs_a_node)
+        for least in () if short.isEmpty() else PASSES:
+            checked(block_pairs(labelled(short), least, percent))
+        wide = rest.where(F.col("apart") > pairs_a_node)
+        if last or wide.isEmpty():
+            discard(rest)
+            break
+        members = stored(branched(wide.select("node", "rep"), classes.drop("roots"), docs, words))
+        discard(rest)
+    discard(*links)
+    return labels
+
+
+def judged(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, small: int = SMALL, depth: int = DEPTH, pairs_a_node: int = PAIRS_A_NODE) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group, component_id: a row for every row of ``docs`` (doc_id, text); ``group`` names what
+    is linked, and is null without words.
+    """
     sets = stored(document_sets(docs, words))
     full = sets.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    every = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
-    # Of an id with several texts the set of the smallest key stands for it in the join.
-    one = Window.partitionBy("rep").orderBy("set_key")
-    classes = every.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    pairs, large = proposals(classes.select("rep", "roots", "sig", "n_shingles"))
-    links = stored(linked(pairs.where("first").select("a", "b"), classes, docs, percent, words))
-    labels = components(links)
-    label_of = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: E731, the latest labels
-    apart = pairs.where("not first").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
-    apart = stored(apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
-    if not apart.isEmpty():
-        links = links.unionByName(stored(linked(apart, classes, docs, percent, words)))
-        labels = components(links)
-    for least in () if large.isEmpty() else PASSES:
-        now = large.join(label_of("rep"), "rep", "left").withColumn("label", F.coalesce("label_rep", "rep"))
-        apart = stored(block_pairs(now, least, percent))
-        if not apart.isEmpty():
-            links = links.unionByName(stored(linked(apart, classes, docs, percent, words)))
-            labels = components(links)
-    named = every.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("roots").alias("roots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).withColumn("rep", F.xxhash64("set_key")))
+    labels = joined(classes, docs, percent, words, small, depth, pairs_a_node)
+    named = classes.select("set_key", F.col("doc_id").alias("component_id"), F.col("rep").alias("group"))
+    if labels is not None:
+        # A component is called by its smallest doc_id.
+        least = classes.join(labels, "rep").groupBy("label").agg(F.min("doc_id").alias("least"))
+        called = labels.join(least, "label").select(F.col("rep").alias("group"), "least", "label")
+        named = named.join(called, "group", "left").select("set_key", F.coalesce("least", "component_id").alias("component_id"), F.coalesce("label", "group").alias("group"))
+    out = sets.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("set_key").isNotNull(), F.coalesce("group", F.xxhash64("set_key"))).alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for every row of ``docs`` (doc_id, text)."""
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return judged(docs, **options).select("doc_id", "n_shingles", "component_id", same.alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document (of the smallest id) left of each group; rows without words all stay.
+    """``docs`` with one row left of each group, one of the smallest id (ids before null); rows without words all stay.
 
-    Of rows that share the kept id one stays; rows without an id stay.
+    Of rows that share id and text one stays.
     """
-    judged = stored(near_duplicates(docs, **options))
-    kept = judged.where("kept").groupBy("doc_id").agg(F.max("n_shingles").alias("_most"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
-    if not kept.where("_rows > 1 AND doc_id IS NOT NULL AND _most > 0").isEmpty():
-        one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        rows = rows.withColumn("_n", F.row_number().over(one)).where((F.col("_n") == 1) | (F.col("_most") == 0) | F.col("doc_id").isNull()).drop("_n")
-    return rows.drop("_most", "_rows")
+    found = judged(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    winners = found.where("`group` IS NOT NULL").groupBy("group").agg(first).select("first.doc_id", "first.text_hash", F.lit(True).alias("one"))
+    empty = found.where("`group` IS NULL").select("doc_id", "text_hash", F.lit(False).alias("one")).distinct()
+    stay = stored(winners.unionByName(empty).select(F.col("doc_id").alias("id"), "text_hash", "one"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    met = rows.join(stay, rows["own_id"].eqNullSafe(stay["id"]) & (rows["own_hash"] == stay["text_hash"]))
+    key = ["id", "text_hash"]
+    if met.where("one").groupBy(key).count().where("count > 1").isEmpty():
+        return met.select("row.*")
+    ranked = met.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("row"))))
+    return ranked.where("turn = 1 OR NOT one").select("row.*")

@@ -59,6 +59,62 @@ def test_neardup_star_of_many_copies(spark):
     assert {r.component_id for r in neardup.near_duplicates(docs).collect()} == {0}
 
 
+def template_corpus(n, seed=4):
+    """Texts of one template, each twice: any two of different pairs share over half of their shingles, two of a pair more than 3/4."""
+    rng = np.random.default_rng(seed)
+    words = [f"t{k}" for k in range(300)]
+    out = []
+    for i in range(n // 2):
+        own = list(words)
+        for k in rng.choice(60, 8, replace=False).tolist():
+            own[5 * k + 2] = f"p{i}x{k}"
+        for half in "ab":
+            each = list(own)
+            for k in rng.choice(60, 3, replace=False).tolist():
+                each[5 * k + 2] = f"{half}{i}x{k}"
+            out.append(" ".join(each))
+    return out
+
+
+def brute_components(texts):
+    codes = [neardup.shingles(t) for t in texts]
+    every, at = np.unique(np.concatenate(codes), return_inverse=True)
+    has = np.zeros((len(texts), len(every)), np.float32)
+    has[np.repeat(np.arange(len(texts)), [len(c) for c in codes]), at] = 1
+    both = np.rint(has @ has.T).astype(int)
+    size = has.sum(1).astype(int)
+    link = 100 * both >= 75 * (size[:, None] + size[None] - both)
+    label = np.arange(len(texts))
+    while True:
+        low = np.array([label[link[i]].min() for i in range(len(texts))])
+        if (low == label).all():
+            return label.tolist(), int((link.sum() - len(texts)) // 2), both, size
+        label = low
+
+
+@pytest.mark.parametrize("n,options", [(240, {"pairs_a_node": 2000, "depth": 3}), (900, {"pairs_a_node": 20000, "depth": 4}), (900, {})])
+def test_neardup_large_nodes_lose_no_link(spark, n, options):
+    texts = template_corpus(n)
+    want, links, both, size = brute_components(texts)
+    assert 0.3 * n < links < 5 * n and np.median(both / (size[:, None] + size[None] - both)) > 0.5
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, **options).collect()}
+    right = sum(got[i] == want[i] for i in range(n))
+    assert right >= 0.995 * n
+
+
+def test_neardup_repeated_and_null_ids(spark):
+    rows = [(5, BASE), (5, "an entirely different text of seven words"), (9, "an entirely different text of seven words"), (12, "an entirely different text of seven words"), (None, BASE), (None, "only null ids have this text here"), (None, "only null ids have this text here"), (5, BASE), (None, None), (7, "")]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, _rows long, _kept string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()), key=str)
+    split = len(BASE.split()) - 4
+    want = [(5, split, 5, True), (5, 3, 5, True), (9, 3, 5, False), (12, 3, 5, False), (None, split, 5, False), (None, 3, None, True), (None, 3, None, True), (5, split, 5, True), (None, 0, None, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)
+    left = neardup.without_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, BASE), (5, rows[1][1]), (None, "only null ids have this text here"), (None, None), (7, "")], key=str)
+
+
 @pytest.mark.parametrize("train,score", [(toxicity.train_toxicity, toxicity.score_toxicity), (quality.train_quality, quality.score_quality)])
 def test_classifiers(spark, train, score):
     docs = documents(spark).drop("score")
