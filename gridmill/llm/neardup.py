@@ -6,20 +6,22 @@ classes are the connected components of the links.
 1. Documents with equal sets are one class; only classes go on.
 2. Each of TREES independent trees branches the classes by one chosen minwise token of the whole set; those that
    share it are a node.  A small node (at most SMALL classes) is compared exhaustively on the classes' minwise
-   samples.  In a larger node the first class is compared with all others.
-3. Pairs that pass are checked on full sets and give links; links give components.  Pairs whose two sides are in
-   one component already need no check.  A node whose pairs of different components are few (PAIRS_A_NODE) is
-   compared exhaustively in blocks, the likeliest pairs first (PASSES).
-4. Any other node branches on: each of its classes goes to FANOUT children by fresh minwise tokens, drawn from its
-   whole set by hashes of the node's own, and steps 2 and 3 follow.  Nodes still large at level DEPTH are compared
-   exhaustively in blocks, however large they are.
+   samples; pairs that pass are checked on full sets and give links.
+3. Links give components.  Two classes of one component need no further check, so of a larger node only pairs of
+   different components are open.  If these are few (PAIRS_A_NODE), they are all compared on full sets: the classes
+   outside the node's largest component meet all others, dealt in blocks.  Each task gives a spanning forest of the
+   links it finds, not all of them.  Trees go in turns (TURNS), so that later ones have less left to do.
+4. In any other node one class, another in every tree, is compared with all others first.  What stays open then
+   branches on: each class goes to FANOUT children by fresh minwise tokens, drawn from its whole set by hashes of
+   the node's own, and steps 2 to 4 follow.  At level DEPTH nodes are compared as in 3, however large they are.
 5. Components by repeatedly taking the smallest label around and jumping (tables in the shared folder).
 
 A pair of similarity 0.75 shares a root with probability 3/4.  Of two children a node it shares at least one with
 probability 15/16 and 1.5 on average, so it meets in some node of every depth with at least 0.88 of its
 probability at the root: the 12 trees miss it with 6e-8 where nodes are small or exhausted at the root, and with
 3e-6 where each has to branch without end.  Minwise samples travel as 16 bits each and only drop pairs far below
-the threshold (mean minus five standard deviations: 3e-7), so full sets meet only where they are likely to link.
+the threshold (mean minus five standard deviations: 3e-7), so full sets of small nodes meet only where they are
+likely to link.  Comparing a node on full sets takes time with the square of its classes, but no rows.
 
 Defined results: a null text or one without words has an empty set, n_shingles 0, and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows that share a doc_id are judged each by its
@@ -48,8 +50,8 @@ SMALL, FANOUT, DEPTH = 48, 2, 6
 PAIRS_A_NODE = 2_000_000
 #: Estimates below this are not checked: 0.75 minus five standard deviations of a mean of 48 samples.
 FLOOR = 0.75 - 5 * (0.75 * 0.25 / SAMPLES) ** 0.5
-#: Least estimates of the passes over large nodes, and the classes of one of their blocks.
-PASSES = (0.75, 0.66, FLOOR)
+#: First and last tree of each turn; classes of one block of a node.
+TURNS = ((0, 0), (1, 2), (3, 5), (6, TREES - 1))
 BLOCK = 2048
 SALT_ROWS, LEADER_ROWS = 256, 4096
 
@@ -119,7 +121,10 @@ def similar(sigs: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def node_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, first) of small nodes, each compared exhaustively; ``members``: node, rep, sig."""
+    """(a, b, first) of small nodes, each compared exhaustively on samples; ``members``: node, rep, sig.
+
+    ``first`` marks a class's pair with the smallest similar class of the node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, held_sigs, held_reps = None, [], []
@@ -150,29 +155,58 @@ def node_pairs(members: DataFrame) -> DataFrame:
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, first) of large nodes: the smallest class of each against all others of the node.
+    """(a, b) of large nodes: one class, chosen by the node's hash, against all others of other components.
 
-    A hot node is salted; no task needs a whole node.
+    ``members``: node, n, rep, sig, label.  A hot node is salted; no task needs a whole node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = pa.array((signatures(batch.column("sig")) == signatures(batch.column("leader_sig"))).mean(1) >= FLOOR)
-            a, b = batch.column("a").filter(hit), batch.column("b").filter(hit)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(np.ones(len(a), bool))], ["a", "b", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], ["a", "b"])
 
     salts = F.ceil(F.col("n") / LEADER_ROWS).cast("int")
-    leaders = members.groupBy("node").agg(F.min(F.struct("rep", "sig")).alias("leader"), F.max(salts).alias("salts"))
+    leaders = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "rep").alias("turn"), "rep", "sig", "label")).alias("leader"), F.max(salts).alias("salts"))
     leaders = leaders.select("node", "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = members.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(leaders, ["node", "salt"]).where(F.col("rep") > F.col("leader.rep"))
-    return met.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), "sig", F.col("leader.sig").alias("leader_sig")).mapInArrow(run, PAIRS)
+    met = members.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(leaders, ["node", "salt"]).where(F.col("label") != F.col("leader.label"))
+    pair = met.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"), "sig", F.col("leader.sig").alias("leader_sig"))
+    return pair.mapInArrow(run, "a long, b long").distinct()
+
+
+def forest(left: list[np.ndarray], right: list[np.ndarray], labels: tuple[np.ndarray, np.ndarray], within: bool, percent: int) -> list[tuple[int, int]]:
+    """Index pairs (left, right) of a spanning forest of the links between sets of different labels; ``within``: both sides are the same."""
+    size = np.array([len(c) for c in right], np.int64)
+    every, inverse = np.unique(np.concatenate(right), return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    row = np.repeat(np.arange(len(right)), size)[order]  # which sets hold a code, code by code
+    count = np.bincount(inverse, minlength=len(every))
+    start = np.cumsum(count) - count
+    both_labels, root = np.unique(np.concatenate(labels), return_inverse=True)
+    mine, theirs = root[: len(left)].copy(), root[len(left) :].copy()
+    out = []
+    for i, codes in enumerate(left):
+        at = np.minimum(np.searchsorted(every, codes), len(every) - 1)
+        at = at[every[at] == codes]
+        n = count[at]
+        flat = np.arange(int(n.sum())) + np.repeat(start[at] - np.cumsum(n) + n, n)
+        both = np.bincount(row[flat], minlength=len(right))
+        hit = np.flatnonzero((100 * both >= percent * (len(codes) + size - both)) & (theirs != mine[i]))
+        if within:
+            hit = hit[hit > i]
+        while len(hit):
+            j = int(hit[0])
+            out.append((i, j))
+            old = theirs[j]
+            mine[mine == old] = mine[i]
+            theirs[theirs == old] = mine[i]
+            hit = hit[theirs[hit] != mine[i]]
+    return out
 
 
-def block_pairs(members: DataFrame, least: float, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b) of large nodes: every two classes of a node that are apart, of fitting sizes and of an estimate of
-    ``least`` or more; ``members``: node, n, rep, sig, n_shingles, label.
+def open_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), enough to join whatever the pairs of different labels in a node link; ``members``: node, rep, label, major, n_major, n.
 
-    A node of many blocks is dealt as pairs of them; no task needs a whole node.
+    Classes of the major label are blocks of their own, all others further blocks; one of these is on either side of each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,79 +222,68 @@ def block_pairs(members: DataFrame, least: float, percent: int = PERCENT, block:
         yield from compared(held)
 
     def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(b.num_rows for b in held) < 2:
+        if not held:
             return
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
-        rows = rows[0] if len(rows) == 1 else pa.concat_batches(rows)
-        sizes, names, labels, own = (np.asarray(rows.column(c)) for c in ("n_shingles", "rep", "label", "own"))
-        order = np.argsort(sizes, kind="stable")
-        sizes, names, labels, own = sizes[order], names[order], labels[order], own[order]
-        sigs = signatures(rows.column("sig"))[order].T
-        within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
-        left = np.arange(len(order)) if within else np.flatnonzero(own == rows.column("low")[0].as_py())
-        cols, of = np.ascontiguousarray(sigs[:, left]), (sizes[left], names[left], labels[left])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for j in range(len(order)) if within else np.flatnonzero(own == rows.column("high")[0].as_py()).tolist():
-            lo = int(np.searchsorted(of[0], -(-percent * int(sizes[j]) // 100)))
-            hi = j if within else int(np.searchsorted(of[0], 100 * int(sizes[j]) // percent, "right"))
-            at = lo + np.flatnonzero(of[2][lo:hi] != labels[j])
-            if not len(at):
-                continue
-            part = cols[:, lo:hi] if len(at) == hi - lo else cols[:, at]
-            hit = at[(part == sigs[:, j, None]).view(np.uint8).sum(0, dtype=np.uint8) >= least * SAMPLES]
-            if len(hit):
-                found.append((of[1][hit], np.full(len(hit), names[j])))
-        if found:
-            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "sig", "n_shingles", "label")
-    met = dealt.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
-    return met.mapInArrow(run, "a long, b long").distinct()
+        column = lambda c: [x for b in held for x in b.column(c).to_pylist()]
+        low, high = held[0].column("low")[0].as_py(), held[0].column("high")[0].as_py()
+        own, reps, labels, codes = np.array(column("own")), np.array(column("rep")), np.array(column("label")), [np.frombuffer(c, np.uint64) for c in column("codes")]
+        x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        if not len(x) or not len(y):
+            return
+        found = forest([codes[k] for k in x], [codes[k] for k in y], (labels[x], labels[y]), low == high, percent)
+        a, b = reps[x[[i for i, _ in found]]], reps[y[[j for _, j in found]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    minor = F.col("label") != F.col("major")
+    some = lambda n: F.ceil(n / block).cast("int")
+    minors, majors = some(F.col("n") - F.col("n_major")), some(F.col("n_major"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    own = F.when(minor, part(minors)).otherwise(minors + part(majors))
+    other = F.when(minor, F.sequence(F.lit(0), minors + majors - 1)).otherwise(F.sequence(F.lit(0), minors - 1))
+    dealt = members.select("node", "rep", "label", own.alias("own"), F.explode(other).alias("other"))
+    dealt = dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "label")
+    met = dealt.join(full_sets(members.select("rep").distinct(), classes, docs, words), "rep")
+    return met.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def rooted(classes: DataFrame) -> DataFrame:
-    """(node, rep, sig, n_shingles): every class in the first node of each tree; ``classes``: rep, roots, sig, n_shingles."""
-    members = classes.select("rep", "sig", "n_shingles", F.posexplode("roots").alias("tree", "root"))
-    return members.select(F.xxhash64("tree", "root").alias("node"), "rep", "sig", "n_shingles")
+    """(node, tree, rep, sig): every class in the first node of each tree; ``classes``: rep, roots, sig."""
+    members = classes.select("rep", "sig", F.posexplode("roots").alias("tree", "root"))
+    return members.select(F.xxhash64("tree", "root").alias("node"), "tree", "rep", "sig")
 
 
 def branched(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS, fanout: int = FANOUT) -> DataFrame:
-    """(node, rep, sig, n_shingles) of the children of nodes: each class by fresh minwise tokens of its whole set;
-    ``members``: node, rep; ``classes``: rep, doc_id, set_key, sig, n_shingles.
+    """(node, tree, rep, sig) of the children of nodes: each class by fresh minwise tokens of its whole set;
+    ``members``: node, tree, rep; ``classes``: rep, doc_id, set_key, sig.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1_000_000):
-            nodes, at = [], []
+            nodes, trees, at = [], [], []
             for k, (t, key, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "set_key", "nodes")), strict=True)):
                 codes = shingles(t, words)
                 if key_of(codes) != key:
                     continue
-                for node in own:
+                for x in own:
                     for j in range(fanout):
-                        salt = mixed(np.array([node & 0xFFFFFFFFFFFFFFFF], np.uint64) * np.uint64(GOLDEN) + np.uint64(j + 1))
+                        salt = mixed(np.array([x["node"] & 0xFFFFFFFFFFFFFFFF], np.uint64) * np.uint64(GOLDEN) + np.uint64(j + 1))
                         nodes.append(int(mixed(mixed(codes ^ salt).min()[None] + salt).view(np.int64)[0]))
+                        trees.append(x["tree"])
                         at.append(k)
             of = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(b.column(c).take(of) for c in ("rep", "sig", "n_shingles"))], ["node", "rep", "sig", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(trees, pa.int32()), *(b.column(c).take(of) for c in ("rep", "sig"))], ["node", "tree", "rep", "sig"])
 
-    wanted = members.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(classes, "rep")
+    wanted = members.groupBy("rep").agg(F.collect_set(F.struct("node", "tree")).alias("nodes")).join(classes, "rep")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    return own.select("rep", "sig", "n_shingles", "set_key", "nodes", "text").mapInArrow(run, "node long, rep long, sig binary, n_shingles long").distinct()
+    return own.select("rep", "sig", "set_key", "nodes", "text").mapInArrow(run, "node long, tree int, rep long, sig binary").distinct()
 
 
 def key_of(codes: np.ndarray) -> bytes:
     return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold; ``classes``: rep, doc_id, set_key."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "doc_id", "set_key"), "rep")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("rep", "set_key", "text")
+def full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(rep, codes): the whole sets of some classes, from the text of one document each; ``classes``: rep, doc_id, set_key."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1_000_000):
@@ -268,6 +291,14 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
             right = pa.array([key_of(s) == k for s, k in zip(found, b.column("set_key").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("rep").filter(right), pa.array([s.tobytes() for s in found], pa.binary()).filter(right)], ["rep", "codes"])
 
+    wanted = reps.join(classes.select("rep", "doc_id", "set_key"), "rep")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("rep", "set_key", "text")
+    # Rows that share an id but not the set of the class are left out, and of those with the same text all but one.
+    return own.distinct().mapInArrow(sets, "rep long, codes binary")
+
+
+def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold; ``classes``: rep, doc_id, set_key."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, held = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -285,8 +316,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    # Rows that share an id but not the set of the class are left out, and of those with the same text all but one.
-    full = own.distinct().mapInArrow(sets, "rep long, codes binary")
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, docs, words)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     right = salted.join(full, salted["b"] == full["rep"]).select("a", "b", "salt", "codes")
@@ -316,63 +346,78 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def joined(classes: DataFrame, docs: DataFrame, percent: int, words: int, small: int, depth: int, pairs_a_node: int) -> DataFrame | None:
-    """(rep, label) of the classes that are linked with others, or None; ``classes``: rep, doc_id, set_key, roots, sig, n_shingles."""
-    links: list[DataFrame] = []
+    """(rep, label) of the classes that are linked with others, or None; ``classes``: rep, doc_id, set_key, roots, sig."""
     labels: DataFrame | None = None
 
-    def label_of(name: str) -> DataFrame:
-        return labels.select(F.col("rep").alias(name), F.col("label").alias(f"label_{name}"))
-
-    def checked(pairs: DataFrame) -> None:
-        """Take up the links among ``pairs`` (a, b), without those whose sides are in one component already."""
+    def take(links: DataFrame) -> None:
+        """Join what these links (a, b) link."""
         nonlocal labels
+        links = stored(links)
+        if not links.isEmpty():
+            old = labels
+            known = links if old is None else links.unionByName(old.select(F.col("rep").alias("a"), F.col("label").alias("b")).where("a <> b"))
+            labels = components(known)
+            discard(old)
+        discard(links)
+
+    def check(pairs: DataFrame) -> None:
+        """Take the links among pairs (a, b), without those whose sides are in one component already."""
         if labels is not None:
+            label_of = lambda name: labels.select(F.col("rep").alias(name), F.col("label").alias(f"label_{name}"))
             pairs = pairs.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
             pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
         pairs = stored(pairs)
         if not pairs.isEmpty():
-            links.append(stored(linked(pairs, classes, docs, percent, words)))
-            every = links[0]
-            for more in links[1:]:
-                every = every.unionByName(more)
-            old, labels = labels, components(every)
-            discard(old)
+            take(linked(pairs, classes, docs, percent, words))
         discard(pairs)
 
-    def labelled(members: DataFrame) -> DataFrame:
-        if labels is None:
-            return members.withColumn("label", F.col("rep"))
-        return members.join(label_of("rep"), "rep", "left").withColumn("label", F.coalesce("label_rep", "rep")).drop("label_rep")
-
+    def opened(members: DataFrame) -> DataFrame:
+        """Members (node, tree, rep, sig) of nodes with open pairs: adds label, n, apart (how many), major (label), n_major."""
+        named = members.withColumn("label", F.col("rep"))
+        if labels is not None:
+            named = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        parts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+        n, squares = F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))
+        nodes = parts.groupBy("node").agg(n.alias("n"), ((n.cast("double") * n - squares) / 2).alias("apart"), F.max(F.struct("c", "label")).alias("m"))
+        nodes = nodes.where("apart > 0").select("node", "n", "apart", F.col("m.label").alias("major"), F.col("m.c").alias("n_major"))
+        return stored(named.join(nodes, "node"))
+
+    plain = ["node", "tree", "rep", "sig"]
     members = rooted(classes)
     for level in range(depth + 1):
         # Rows alone in their node go no further.
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         held = stored(members.join(sizes, "node"))
-        large = held.where(F.col("n") > small)
-        found = node_pairs(held.where(F.col("n") <= small)).unionByName(leader_pairs(large))
-        pairs = stored(found.groupBy("a", "b").agg(F.max("first").alias("first")))
-        checked(pairs.where("first").select("a", "b"))
-        checked(pairs.where("not first").select("a", "b"))
+        pairs = stored(node_pairs(held.where(F.col("n") <= small)).groupBy("a", "b").agg(F.max("first").alias("first")))
+        check(pairs.where("first").select("a", "b"))
+        check(pairs.where("not first").select("a", "b"))
         discard(pairs)
-        parts = labelled(large).groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
-        apart = parts.groupBy("node").agg((F.sum("c").cast("double") * F.sum("c") / 2 - F.sum(F.col("c").cast("double") * F.col("c")) / 2).alias("apart")).where("apart > 0")
-        rest = stored(large.join(apart, "node"))
-        discard(held)
-        if rest.isEmpty():
-            discard(rest)
-            break
-        last = level == depth
-        short = rest if last else rest.where(F.col("apart") <= pairs_a_node)
-        for least in () if short.isEmpty() else PASSES:
-            checked(block_pairs(labelled(short), least, percent))
-        wide = rest.where(F.col("apart") > pairs_a_node)
-        if last or wide.isEmpty():
+        later: list[DataFrame] = []
+        for first, last in TURNS:
+            some = held.where((F.col("n") > small) & F.col("tree").between(first, last)).select(plain)
+            if some.isEmpty():
+                continue
+            rest = opened(some)
+            wide = rest.where(F.col("apart") > pairs_a_node)
+            if not wide.isEmpty():
+                check(leader_pairs(wide))
+                rest, done = opened(rest.select(plain)), rest
+                discard(done)
+            now = rest if level == depth else rest.where(F.col("apart") <= pairs_a_node)
+            if not now.isEmpty():
+                take(open_links(now, classes, docs, percent, words))
+            if level < depth:
+                later.append(stored(rest.where(F.col("apart") > pairs_a_node).select(plain)))
             discard(rest)
+        discard(held)
+        wide = None
+        for part in later:
+            wide = part if wide is None else wide.unionByName(part)
+        if wide is None or wide.isEmpty():
+            discard(*later)
             break
-        members = stored(branched(wide.select("node", "rep"), classes.drop("roots"), docs, words))
-        discard(rest)
-    discard(*links)
+        members = stored(branched(wide, classes, docs, words))
+        discard(*later)
     return labels
 
 
