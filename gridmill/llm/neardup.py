@@ -10,11 +10,11 @@ classes are the connected components of the links.
 3. Links give components.  Two classes of one component need no further check, so of a larger node only pairs of
    different components are open.  If these are few (PAIRS_A_NODE), they are all compared on full sets: the classes
    outside the node's largest component meet all others, dealt in blocks.  Each task gives a spanning forest of the
-   links it finds, not all of them.  Trees go in turns (TURNS), so that later ones have less left to do.
-4. In any other node one class, another in every tree, is compared with all others first.  What stays open then
-   branches on: each class goes to FANOUT children by fresh minwise tokens, drawn from its whole set by hashes of
-   the node's own, and steps 2 to 4 follow.  At level DEPTH nodes are compared as in 3, however large they are.
-5. Components by repeatedly taking the smallest label around and jumping (tables in the shared folder).
+   links it finds, not all of them.  Before that, in some trees (LEADERS), one class of each large node, another in
+   every tree, is compared with all others of it, which joins most of a large group of copies.
+4. Any other node branches on: each class goes to FANOUT children by fresh minwise tokens, drawn from its whole set
+   by hashes of the node's own, and steps 2 to 4 follow.  At level DEPTH nodes are compared as in 3, however large.
+5. Components by local contraction, then by repeatedly taking the smallest label around and jumping.
 
 A pair of similarity 0.75 shares a root with probability 3/4.  Of two children a node it shares at least one with
 probability 15/16 and 1.5 on average, so it meets in some node of every depth with at least 0.88 of its
@@ -50,9 +50,10 @@ SMALL, FANOUT, DEPTH = 48, 2, 6
 PAIRS_A_NODE = 2_000_000
 #: Estimates below this are not checked: 0.75 minus five standard deviations of a mean of 48 samples.
 FLOOR = 0.75 - 5 * (0.75 * 0.25 / SAMPLES) ** 0.5
-#: First and last tree of each turn; classes of one block of a node.
-TURNS = ((0, 0), (1, 2), (3, 5), (6, TREES - 1))
+#: First and last tree of those that leaders are compared in, in two turns; classes of one block of a node.
+LEADERS = ((0, 0), (1, 3))
 BLOCK = 2048
+LINKS_A_TASK = 1_000_000
 SALT_ROWS, LEADER_ROWS = 256, 4096
 
 
@@ -325,12 +326,43 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
     return met.select("a", "b", "codes").mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
+def contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """(a, b) that join what ``links`` join: each task puts the smallest id of every component of its own links beside all its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(b.column("a")), np.asarray(b.column("b"))) for b in batches]
+        if not held:
+            return
+        ids, at = np.unique(np.concatenate([x for pair in zip(*held, strict=True) for x in pair]), return_inverse=True)
+        x, y = at[: len(at) // 2], at[len(at) // 2 :]
+        label = np.arange(len(ids))
+        while True:  # smallest label of both sides, then of that label, until nothing changes
+            low = np.minimum(label[x], label[y])
+            fresh = label.copy()
+            np.minimum.at(fresh, x, low)
+            np.minimum.at(fresh, y, low)
+            np.minimum.at(fresh, label[x], low)
+            np.minimum.at(fresh, label[y], low)
+            fresh = fresh[fresh]
+            if (fresh == label).all():
+                break
+            label = fresh
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["a", "b"])
+
+    return links.select("a", "b").repartition(tasks).mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, limit: int = 60, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     """(rep, label) of every id in ``links`` (a, b): the smallest id that it is connected with.
 
-    Each round every id takes the smallest label of itself and its neighbours, then the label of that label.
+    Tasks first join what their own share of the links, of a bounded size, joins.  Where there are several, rounds follow in
+    which every id takes the smallest label of itself and its neighbours, then the label of that label.
     """
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    tasks = -(-links.count() // links_a_task)
+    near = stored(contracted(links, max(1, tasks)))
+    if tasks <= 1:
+        return renamed(near, a="rep", b="label")
+    edges = stored(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(edges.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(limit):
         around = edges.join(labels.select(F.col("rep").alias("b"), "label"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("label").alias("near"))
@@ -340,11 +372,18 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         discard(labels)
         labels = fresh
         if fresh.where("old <> label").isEmpty():
-            discard(edges)
-            return labels
+            discard(edges, near)
+            return renamed(labels, rep="rep", label="label")
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
+def renamed(held: DataFrame, **names: str) -> DataFrame:
+    """Some columns of a stored table under other names, still to be discarded as one."""
+    out = held.select(*[F.col(k).alias(v) for k, v in names.items()])
+    out._stored_at = held._stored_at
+    return out
+
+
 def joined(classes: DataFrame, docs: DataFrame, percent: int, words: int, small: int, depth: int, pairs_a_node: int) -> DataFrame | None:
     """(rep, label) of the classes that are linked with others, or None; ``classes``: rep, doc_id, set_key, roots, sig."""
     labels: DataFrame | None = None
@@ -382,42 +421,38 @@ def joined(classes: DataFrame, docs: DataFrame, percent: int, words: int, small:
         nodes = nodes.where("apart > 0").select("node", "n", "apart", F.col("m.label").alias("major"), F.col("m.c").alias("n_major"))
         return stored(named.join(nodes, "node"))
 
+    def leaders(large: DataFrame, first: int, last: int) -> DataFrame:
+        some = large.where(F.col("tree").between(first, last))
+        if labels is None:
+            return leader_pairs(some.withColumn("label", F.col("rep")))
+        return leader_pairs(some.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+
     plain = ["node", "tree", "rep", "sig"]
     members = rooted(classes)
     for level in range(depth + 1):
         # Rows alone in their node go no further.
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         held = stored(members.join(sizes, "node"))
+        large = held.where(F.col("n") > small)
+        any_large = not large.isEmpty()
         pairs = stored(node_pairs(held.where(F.col("n") <= small)).groupBy("a", "b").agg(F.max("first").alias("first")))
-        check(pairs.where("first").select("a", "b"))
-        check(pairs.where("not first").select("a", "b"))
+        for (first, last), which in zip(LEADERS, ("first", "not first"), strict=True):
+            some = pairs.where(which).select("a", "b")
+            check(some.unionByName(leaders(large, first, last)).distinct() if any_large else some)
         discard(pairs)
-        later: list[DataFrame] = []
-        for first, last in TURNS:
-            some = held.where((F.col("n") > small) & F.col("tree").between(first, last)).select(plain)
-            if some.isEmpty():
-                continue
-            rest = opened(some)
-            wide = rest.where(F.col("apart") > pairs_a_node)
-            if not wide.isEmpty():
-                check(leader_pairs(wide))
-                rest, done = opened(rest.select(plain)), rest
-                discard(done)
-            now = rest if level == depth else rest.where(F.col("apart") <= pairs_a_node)
-            if not now.isEmpty():
-                take(open_links(now, classes, docs, percent, words))
-            if level < depth:
-                later.append(stored(rest.where(F.col("apart") > pairs_a_node).select(plain)))
-            discard(rest)
+        if not any_large:
+            discard(held)
+            break
+        rest = opened(large.select(plain))
         discard(held)
-        wide = None
-        for part in later:
-            wide = part if wide is None else wide.unionByName(part)
-        if wide is None or wide.isEmpty():
-            discard(*later)
+        now = rest if level == depth else rest.where(F.col("apart") <= pairs_a_node)
+        take(open_links(now, classes, docs, percent, words))
+        wide = rest.where(F.col("apart") > pairs_a_node).select(plain)
+        if level == depth or wide.isEmpty():
+            discard(rest)
             break
         members = stored(branched(wide, classes, docs, words))
-        discard(*later)
+        discard(rest)
     return labels
 
 
