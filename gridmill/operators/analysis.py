@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cut points of a column: a range between two holds about one in CUTS rows, a cut point itself any number.
+CUTS = 255
+
+
+def cut_points(df: DataFrame, column: str) -> list[float]:
+    """At most CUTS values that part a column's values evenly (nulls and NaN aside)."""
+    return sorted(set(df.stat.approxQuantile(column, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 0.002)))
+
+
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    """Twice the number of cut points below a value, and one more if it is a cut point itself.
+
+    Buckets are in the order of the values, and those of odd numbers hold one value each, so a value that many rows share
+    is no large range.
+    """
+    listed = F.array(*map(F.lit, cuts)).cast("array<double>")
+    return (2 * F.size(F.filter(listed, lambda c: c < value)) + F.array_contains(listed, value.cast("double")).cast("int")).cast("int")
+
+
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the mean rank of equal values; ranked over distinct values, so the window holds one row a value."""
-    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(F.col(column).alias("_v"), (before + (F.col("_c") + 1) / 2).alias(name))
-    return df.join(ranks, df[column] == ranks["_v"]).drop("_v")
+    """Adds the mean rank of equal values (numbers); rows without a value are left out.
+
+    Ranked over distinct values, in ranges that each add the rows of all ranges before: no task sorts all values.
+    """
+    cuts = cut_points(df, column)
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", bucket_of(F.col(column), cuts))
+    sizes = values.groupBy("__b").agg(F.sum("__c").alias("__n"))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over 2 * CUTS + 1 rows at most
+    before = sizes.select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__before") + F.coalesce(F.sum("__c").over(inside), F.lit(0)) + (F.col("__c") + 1) / 2
+    ranks = values.join(F.broadcast(before), "__b").select(F.col(column).alias("__v"), rank.alias(name))
+    return df.join(ranks, df[column] == ranks["__v"]).drop("__v")
 
 
 def pearson(x, y):
@@ -20,26 +49,63 @@ def pearson(x, y):
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """pearson, spearman, kendall in one row."""
-    ranked = average_ranks(average_ranks(df.select(x, y), x, "_rx"), y, "_ry")
-    two = ranked.agg(pearson(F.col(x), F.col(y)).alias("pearson"), pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
-    return two.join(kendall(df, x, y))
+    """pearson, spearman, kendall in one row; rows that lack either value are left out."""
+    both = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(both, x, "__rx"), y, "__ry")
+    two = ranked.agg(pearson(F.col(x), F.col(y)).alias("pearson"), pearson(F.col("__rx"), F.col("__ry")).alias("spearman"))
+    return two.join(kendall(both, x, y))  # of one row each
+
+
+def concordant(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> int:
+    """Weighted pairs of points in which both coordinates rise; in n log(n) log(distinct v) steps."""
+    order = np.lexsort((-v, u))  # of equal u the larger v come first, so that they never count
+    _, rank = np.unique(v, return_inverse=True)
+    rank, weight = rank[order], weight[order].astype(np.int64)
+    total = 0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        group = rank >> (bit + 1)
+        at = np.argsort(group, kind="stable")
+        low = (rank[at] >> bit) & 1 == 0
+        ahead = np.cumsum(np.where(low, weight[at], 0))
+        begins = np.concatenate(([True], group[at][1:] != group[at][:-1]))
+        base = np.maximum.accumulate(np.where(begins, ahead - np.where(low, weight[at], 0), 0))
+        total += int(((ahead - base) * weight[at])[~low].sum())
+    return total
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """tau-b.  Pairs are counted between distinct (x, y) values with their multiplicities, not between rows."""
-    v = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    a, b = v.alias("a"), v.alias("b")
-    pair = a.join(b, (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y"))))
-    n = F.col("a.c") * F.col("b.c")
-    told = pair.agg(
-        F.sum(F.when((F.col("a.x") < F.col("b.x")) & (F.col("a.y") < F.col("b.y")), n)).alias("conc"),
-        F.sum(F.when((F.col("a.x") < F.col("b.x")) & (F.col("a.y") > F.col("b.y")), n)).alias("disc"),
-        F.sum(F.when((F.col("a.x") == F.col("b.x")) & (F.col("a.y") != F.col("b.y")), n)).alias("tie_x"),
-        F.sum(F.when((F.col("a.x") != F.col("b.x")) & (F.col("a.y") == F.col("b.y")), n)).alias("tie_y"),
-    ).na.fill(0)
-    base = F.sqrt((F.col("conc") + F.col("disc") + F.col("tie_x")).cast("double")) * F.sqrt((F.col("conc") + F.col("disc") + F.col("tie_y")).cast("double"))
-    return told.select(F.round(F.coalesce(F.try_divide((F.col("conc") - F.col("disc")).cast("double"), base), F.lit(0.0)), 6).alias("kendall"))
+    """tau-b in one row, exactly.
+
+    Points are dealt into ranges of x and of y (``bucket_of``).  Of two points in different ranges of both, the ranges
+    tell whether both coordinates rise: counted on the grid of ranges.  Points that share a range of x, then those that
+    share one of y only, are counted range by range.  All other kinds of pairs follow from the sizes of ties.
+    """
+    points = df.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    points = points.withColumns({"bx": bucket_of(F.col("x"), cut_points(df, x)), "by": bucket_of(F.col("y"), cut_points(df, y))})
+    big = "decimal(38,0)"
+    pairs = lambda n: n.cast(big) * (n - 1).cast(big) / 2
+    tied = lambda name: points.groupBy(name).agg(F.sum("c").alias("n")).agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0)).alias(f"tie_{name}"))
+    whole = points.agg(F.coalesce(F.sum(pairs(F.col("c"))), F.lit(0)).alias("tie_both"), F.coalesce(pairs(F.sum("c")), F.lit(0)).alias("every"))
+    side = lambda name: points.select(F.col(name)).distinct()
+    grid = side("bx").join(side("by"))  # (2 * CUTS + 1)^2 rows at most
+    held = grid.join(points.groupBy("bx", "by").agg(F.sum("c").alias("n")), ["bx", "by"], "left").na.fill({"n": 0})
+    up = held.withColumn("up", F.coalesce(F.sum("n").over(Window.partitionBy("bx").orderBy(F.col("by").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    beyond = up.withColumn("beyond", F.coalesce(F.sum("up").over(Window.partitionBy("by").orderBy(F.col("bx").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    apart = beyond.agg(F.coalesce(F.sum(F.col("n").cast(big) * F.col("beyond").cast(big)), F.lit(0)).alias("apart"))
+
+    def counted(first: str):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"n": [concordant(group[first].to_numpy(), group["y"].to_numpy(), group["c"].to_numpy())]})
+
+        return run
+
+    near = lambda by, first: points.where(F.col(by) % 2 == 0).groupBy(by).applyInPandas(counted(first), "n long").agg(F.coalesce(F.sum(F.col("n").cast(big)), F.lit(0)).alias(f"near_{by}"))
+    one = whole.join(tied("x")).join(tied("y")).join(apart).join(near("bx", "x")).join(near("by", "bx"))  # rows of one line each
+    d = lambda name: F.col(name).cast("double")
+    rise = d("apart") + d("near_bx") + d("near_by")
+    fall = d("every") - d("tie_x") - d("tie_y") + d("tie_both") - rise
+    base = F.sqrt(d("every") - d("tie_x")) * F.sqrt(d("every") - d("tie_y"))
+    return one.select(F.round(F.coalesce(F.try_divide(rise - fall, base), F.lit(0.0)), 6).alias("kendall"))
 
 
 def last_entries(df: DataFrame, key: str, order: str, limit: int) -> DataFrame:
@@ -53,32 +119,57 @@ def latest_values(df: DataFrame, keys: list[str], value: str, order: str) -> Dat
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def over_budget(steps: DataFrame, limit: int) -> DataFrame:
-    """request_id, seq of the first step at which a request's running use of model calls is above the limit."""
+RESOURCES = ("model_calls", "schema_attempts", "filling_attempts", "candidates")
+
+
+def over_budget(steps: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """request_id, seq, resource, used of the first step at which a running use is above its limit.
+
+    ``limits``: of model_calls, schema_attempts, filling_attempts, candidates, elapsed_seconds; one that is missing or
+    negative is off.  Of several at one step the first in this order is told.  ``steps``: request_id, ts, seq, action, value
+    (seconds).
+    """
     run = Window.partitionBy("request_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = steps.withColumn("used", F.sum(F.when(F.col("action") == "select", 0).otherwise(1)).over(run)).where(F.col("used") > limit)
-    return used.groupBy("request_id").agg(F.min("used").alias("used"), F.min(F.struct("ts", "seq"))["seq"].alias("seq"))
+    is_ = lambda *names: F.col("action").isin(*names).cast("int")
+    use = {"model_calls": 1 - is_("select"), "schema_attempts": is_("schema_attempt"), "filling_attempts": is_("ordinary"), "candidates": is_("ordinary", "transformation"), "elapsed_seconds": F.col("value")}
+    on = [k for k in (*RESOURCES, "elapsed_seconds") if limits.get(k, -1) >= 0]
+    used = steps.withColumns({f"__{k}": F.sum(use[k]).over(run) for k in on})
+    over = [F.when(F.col(f"__{k}") > limits[k], F.struct(F.lit(k).alias("resource"), F.col(f"__{k}").cast("double").alias("used"))) for k in on]
+    none = F.lit(None).cast("struct<resource:string,used:double>")
+    hit = used.withColumn("__over", F.coalesce(*over, none)).where("__over IS NOT NULL")
+    first = hit.groupBy("request_id").agg(F.min(F.struct("ts", "seq", "__over")).alias("f"))
+    return first.select("request_id", F.col("f.seq").alias("seq"), F.col("f.__over.resource").alias("resource"), F.round("f.__over.used", 4).alias("used"))
 
 
 def trace_summary(steps: DataFrame) -> DataFrame:
     """One row over all requests: partial aggregates by request first."""
+    count = lambda *names: F.count_if(F.col("action").isin(*names))
     one = steps.groupBy("request_id").agg(
         F.bool_or(F.col("action") == "select").alias("ok"),
-        F.count_if(F.col("action") == "ordinary").alias("ordinary"),
-        F.count_if(F.col("action") == "transformation").alias("transformed"),
-        F.count_if(F.col("action") == "schema_attempt").alias("schema"),
+        count("ordinary").alias("ordinary"),
+        count("transformation").alias("transformed"),
+        count("schema_attempt").alias("schema"),
+        F.count_if(F.col("action") != "select").alias("calls"),
+        F.sum("value").alias("elapsed"),
     )
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)) + 1e-9, 4)
     return one.agg(
         F.count(F.lit(1)).alias("requests"),
-        F.round(F.avg(F.col("ok").cast("int")), 4).alias("success_rate"),
-        F.sum("ordinary").alias("ordinary_candidates"),
-        F.sum("transformed").alias("transformed_candidates"),
-        F.round(F.avg(F.col("ordinary") + F.col("transformed")), 4).alias("average_candidates"),
-        F.round(F.avg("schema"), 4).alias("average_schema_attempts"),
+        F.count_if("ok").alias("succeeded"),
+        F.count_if(~F.col("ok")).alias("failed"),
+        mean(F.col("ok").cast("int")).alias("success_rate"),
+        F.coalesce(F.sum(F.col("ordinary") + F.col("transformed")), F.lit(0)).alias("candidates"),
+        F.coalesce(F.sum("ordinary"), F.lit(0)).alias("ordinary_candidates"),
+        F.coalesce(F.sum("transformed"), F.lit(0)).alias("transformed_candidates"),
+        mean(F.col("ordinary") + F.col("transformed")).alias("average_candidates"),
+        mean("calls").alias("average_model_calls"),
+        mean("elapsed").alias("average_elapsed_seconds"),
+        mean("ordinary").alias("average_filling_attempts"),
+        mean("schema").alias("average_schema_attempts"),
     )
 
 
 def counters(steps: DataFrame) -> DataFrame:
-    """kind, name, n: actions and transformations counted in one pass."""
-    pairs = F.array(F.struct(F.lit("action").alias("kind"), F.col("action").alias("name")), F.struct(F.lit("transformation").alias("kind"), F.col("transformation").alias("name")))
-    return steps.select(F.explode(pairs).alias("p")).where("p.name IS NOT NULL").groupBy("p.kind", "p.name").agg(F.count(F.lit(1)).alias("n"))
+    """kind, name, n: actions, transformations, sources and rejection reasons counted in one pass."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("action", "transformation", "source", "rejection_reason")])
+    return steps.select(F.inline(pairs)).where("name IS NOT NULL AND name <> ''").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -1,127 +1,305 @@
-"""Rule scores of filled tables, the gate on them, selection and repair."""
+"""Rule scores of filled tables, the gate on them, selection and repair.
+
+A table is scored from its folded row; only its body cells are spread once more, so that their scores are generated
+code.  Sums are rounded as double precision gives them, after adding 1e-9, so that the order of adding never decides.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.functions.text import GENERIC_HEADERS, KEYWORDS, jaccard, score_cell, tokens
+from gridmill.functions.text import GENERIC_HEADERS, KEYWORDS, issue_code, issue_location, jaccard, score_cell, tokens
+from gridmill.operators.structure import TABLE, folded
 
-TABLE = "table_id"
+MINIMUM = 0.58
+DIMENSIONS = ("title", "header", "body", "topic")
 
 
-def keyword_array(domain, topic):
-    """Keywords of a domain and the tokens of a topic."""
+def keyword_array(domain: Column, topic: Column, scenario: Column | None = None) -> Column:
+    """Keywords of a domain and of a scenario, then the tokens of a topic."""
     known = F.create_map(*[x for k, words in KEYWORDS.items() for x in (F.lit(k), F.array(*map(F.lit, words)))])
-    return F.array_union(F.coalesce(known[domain], F.array().cast("array<string>")), tokens(topic))
+    none = F.array().cast("array<string>")
+    of = lambda name: F.coalesce(known[F.coalesce(name, F.lit(""))], none)
+    found = of(domain) if scenario is None else F.array_union(of(domain), of(scenario))
+    return F.array_union(found, tokens(F.coalesce(topic, F.lit(""))))
+
+
+def with_headers_by_column(tables: DataFrame) -> DataFrame:
+    """Adds to folded tables __first (the leftmost column of any header) and __headers: for each column from there on the header
+    over it, of the header cells over a column the last with a text (trimmed), else the last; null where there is none.
+    """
+    t = tables.withColumn("__heads", F.filter("cells", lambda c: (c["role"] == "header") & (c["colspan"] >= 1)))
+    t = t.withColumn("__first", F.coalesce(F.array_min(F.transform("__heads", lambda c: c["col"])), F.lit(0)))
+    end = F.coalesce(F.array_max(F.transform("__heads", lambda c: c["col"] + c["colspan"])), F.lit(0))
+    over = lambda k: F.filter("__heads", lambda c: (c["col"] <= k) & (k < c["col"] + c["colspan"]))
+    last = lambda a: F.get(a, F.size(a) - 1)["text"]
+    text = lambda k: F.coalesce(F.trim(last(F.filter(over(k), lambda c: F.trim(c["text"]) != ""))), last(over(k)))
+    columns = F.when(end > F.col("__first"), F.transform(F.sequence(F.col("__first"), end - 1), text)).otherwise(F.array().cast("array<string>"))
+    return t.withColumn("__headers", columns).drop("__heads")
 
 
 def effective_headers(cells: DataFrame) -> DataFrame:
-    """table_id, col, header: of the header cells over a column the last with a text, else the last."""
-    heads = cells.where("role = 'header' AND colspan >= 1").withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)))
-    text = F.trim("text")
-    return heads.groupBy(TABLE, F.col("c").alias("col")).agg(F.coalesce(F.max_by(text, F.when(text != "", F.col("ordinal"))), F.max_by("text", "ordinal")).alias("header"))
+    """table_id, col, header: the header over each column that has one."""
+    t = with_headers_by_column(folded(cells)).select(TABLE, "__first", F.posexplode("__headers").alias("i", "header"))
+    return t.where("header IS NOT NULL").select(TABLE, (F.col("i") + F.col("__first")).cast("int").alias("col"), "header")
+
+
+def row_headers(cells: DataFrame) -> DataFrame:
+    """table_id, row, header: the last header cell in column 0 that begins in a row."""
+    return cells.where("role = 'header' AND col = 0").groupBy(TABLE, "row").agg(F.max_by("text", "ordinal").alias("header"))
+
+
+def spread_body(tables: DataFrame, *keep: str) -> DataFrame:
+    """A row a body cell of tables of ``with_headers_by_column``: keep, ordinal, row, col, text, header."""
+    body = F.transform(F.filter("cells", lambda c: c["role"] == "body"), lambda c: F.struct(c["ordinal"].alias("ordinal"), c["row"].alias("row"), c["col"].alias("col"), c["text"].alias("text"), F.coalesce(F.get(F.col("__headers"), c["col"] - F.col("__first")), F.lit("")).alias("header")))
+    return tables.select(TABLE, *keep, F.inline_outer(body))
 
 
 def cell_scores(cells: DataFrame) -> DataFrame:
     """table_id, ordinal, row, col, header, score, issue of every body cell."""
-    body = cells.where("role = 'body'").join(effective_headers(cells), [TABLE, "col"], "left")
-    return body.withColumn("s", score_cell(F.coalesce("header", F.lit("")), F.col("text"))).select(TABLE, "ordinal", "row", "col", F.coalesce("header", F.lit("")).alias("header"), F.col("s.score").alias("score"), F.col("s.issue").alias("issue"))
+    body = spread_body(with_headers_by_column(folded(cells))).where("ordinal IS NOT NULL")
+    return body.withColumn("s", score_cell(F.col("header"), F.col("text"))).select(TABLE, "ordinal", "row", "col", "header", F.col("s.score").alias("score"), F.col("s.issue").alias("issue"))
 
 
-def table_scores(cells: DataFrame) -> DataFrame:
-    """title_score, header_score, body_score, topic_score, score, errors of every table (cells with domain, topic, simple)."""
-    text = F.trim("text")
-    filled = text != ""
-    role = lambda name: F.col("role") == name
-    one = cells.withColumn("_k", keyword_array(F.col("domain"), F.col("topic"))).withColumn("_t", text)
-    hit = F.exists("_k", lambda k: F.contains(F.col("_t"), k))
-    on_topic = hit | (jaccard(tokens(F.col("_t")), tokens(F.col("topic"))) > 0)
-    in_order = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ordinal", F.col("_t").alias("t"))))), lambda x: x["t"]), " ")
-    facts = one.groupBy(TABLE).agg(
-        F.first("simple").alias("simple"),
-        F.first("topic").alias("topic"),
-        F.first("_k").alias("keywords"),
-        F.count_if(role("title")).alias("titles"),
-        in_order(role("title") & filled).alias("title"),
-        in_order(filled).alias("corpus"),
-        F.count_if(role("header")).alias("heads"),
-        F.count_if(role("header") & filled).alias("head_filled"),
-        F.size(F.collect_set(F.when(role("header") & filled, F.col("_t")))).alias("head_distinct"),
-        F.count_if(role("header") & F.col("_t").isin(*GENERIC_HEADERS)).alias("head_generic"),
-        F.count_if(role("header") & filled & on_topic).alias("head_semantic"),
-        F.count_if(role("body") & filled).alias("body_filled"),
-        F.count_if(role("body") & filled & hit).alias("body_hits"),
-    )
-    overlap = jaccard(tokens(F.col("title")), tokens(F.col("topic")))
+def column_scores(cells: DataFrame) -> DataFrame:
+    """table_id, col, score: the share of a column's body cells that score 0.75 or more; columns without a body cell have 1 under a header with a text."""
+    scored = cell_scores(cells).groupBy(TABLE, "col").agg(F.round(F.avg((F.col("score") >= 0.75).cast("double")) + 1e-9, 4).alias("body"))
+    heads = cells.where("role = 'header'").withColumn("text", F.trim("text"))
+    over = heads.select(TABLE, "ordinal", "text", F.explode(F.when((F.col("text") == "") | (F.col("colspan") < 1), F.array("col")).otherwise(F.sequence(F.col("col"), F.greatest(F.col("col"), F.col("col") + F.col("colspan") - 1)))).alias("col"))
+    # An empty header sets its own column to 0, whatever came before; a filled one only columns not yet set.
+    first = over.groupBy(TABLE, "col").agg(F.bool_or(F.col("text") == "").alias("bare"))
+    return first.join(scored, [TABLE, "col"], "full").select(TABLE, "col", F.coalesce("body", F.when(F.col("bare"), 0.0).otherwise(1.0)).alias("score"))
+
+
+#: Body issues that are errors; all others are warnings.
+ERRORS = ("empty", "percent", "numeric")
+
+
+def scored_tables(tables: DataFrame, *keep: str) -> DataFrame:
+    """Scores of folded tables with domain, topic, simple (and scenario, if there is one): see ``table_scores``."""
+    scenario = F.col("scenario") if "scenario" in tables.columns else None
+    t = with_headers_by_column(tables).withColumns({"__k": keyword_array(F.col("domain"), F.col("topic"), scenario), "__topic": tokens(F.coalesce("topic", F.lit("")))})
+    texts = lambda role: F.transform(F.filter("cells", lambda c: c["role"] == role), lambda c: F.trim(c["text"]))
+    filled = lambda a: F.filter(a, lambda x: x != "")
+    t = t.withColumns({"__titles": texts("title"), "__heads": texts("header"), "__bodies": filled(texts("body"))})
+    t = t.withColumns({"__title": F.array_join(filled("__titles"), " "), "__named": filled("__heads"), "__corpus": F.array_join(filled(F.transform("cells", lambda c: F.trim(c["text"]))), " "), "__shown": filled(F.array_distinct(F.transform(F.filter("__headers", lambda x: x.isNotNull()), lambda x: F.trim(x))))})
+    has_key = lambda x: F.exists("__k", lambda k: F.contains(x, k))
+    count = lambda a, cond: F.size(F.filter(a, cond))
+    topic = F.coalesce("topic", F.lit(""))
+    overlap = jaccard(tokens(F.col("__title")), F.col("__topic"))
     title = (
-        F.when(F.col("simple"), F.when(F.col("title") != "", 0.9).otherwise(1.0))
-        .when((F.col("titles") == 0) | (F.col("title") == ""), 0.0)
-        .when(F.contains("title", "topic"), 1.0)
+        F.when(F.col("simple"), F.when(F.col("__title") != "", 0.9).otherwise(1.0))
+        .when(F.col("__title") == "", 0.0)
+        .when(F.contains("__title", topic), 1.0)
         .when(overlap >= 0.5, 0.75)
         .otherwise(0.0)
     )
-    n = F.col("heads")
-    header = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * F.col("head_filled") / n + 0.25 * F.col("head_distinct") / n + 0.25 * F.col("head_semantic") / n - 0.08 * F.col("head_generic") / n)))
-    scored = cell_scores(cells).groupBy(TABLE).agg(F.avg("score").alias("body_score"), F.count_if(F.col("issue").isNotNull() & (F.col("issue") != "weak_text")).alias("cell_errors"))
-    over = effective_headers(cells).withColumn("_h", F.trim("header")).where("_h <> ''")
-    shown = over.join(facts.select(TABLE, "keywords"), TABLE).groupBy(TABLE).agg(F.count_distinct("_h").alias("shown"), F.count_distinct(F.when(F.exists("keywords", lambda k: F.contains(F.col("_h"), k)), F.col("_h"))).alias("shown_hits"))
-    t = facts.join(scored, TABLE, "left").join(shown, TABLE, "left").na.fill({"body_score": 1.0, "cell_errors": 0, "shown": 0, "shown_hits": 0})
-    topic_hit = F.contains("corpus", "topic") | (jaccard(tokens(F.col("corpus")), tokens(F.col("topic"))) > 0)
-    title_part = F.when((F.col("simple") | (F.col("title") != "")) & topic_hit, 1.0).otherwise(0.45)
-    hits = F.size(F.filter("keywords", lambda k: F.contains(F.col("corpus"), k)))
-    keyword_part = F.when(F.size("keywords") == 0, 0.7).otherwise(F.least(F.lit(1.0), hits / 3))
-    header_part = F.least(F.lit(1.0), F.col("shown_hits") / F.greatest(F.lit(1), F.least(F.lit(3), F.col("shown"))))
-    body_part = F.least(F.lit(1.0), F.col("body_hits") / F.greatest(F.lit(1), F.least(F.lit(4), F.col("body_filled"))))
-    topic = 0.25 * title_part + 0.35 * keyword_part + 0.25 * header_part + 0.15 * body_part
-    t = t.withColumn("title_score", title).withColumn("header_score", header).withColumn("topic_score", topic)
-    errors = F.col("cell_errors") + (F.col("heads") - F.col("head_filled")) + (F.col("title_score") <= 0).cast("int") + (F.col("topic_score") < 0.35).cast("int") + (F.col("heads") == 0).cast("int")
-    score = 0.18 * F.col("title_score") + 0.27 * F.col("header_score") + 0.40 * F.col("body_score") + 0.15 * F.col("topic_score")
-    r = lambda c: F.round(c + 1e-9, 4)  # noqa: E731  sums that end on a tie round up, whatever the order of adding
-    return t.select(TABLE, r(F.col("title_score")).alias("title_score"), r(F.col("header_score")).alias("header_score"), r(F.col("body_score")).alias("body_score"), r(F.col("topic_score")).alias("topic_score"), r(score).alias("score"), errors.cast("long").alias("errors"))
-
-
-def policy(scores: DataFrame, valid: DataFrame) -> DataFrame:
-    """structure, topic, semantic, overall, ranking, passed from table scores and validity (ok)."""
-    t = scores.join(valid.select(TABLE, "ok"), TABLE)
-    t = t.select("*", F.when(F.col("ok"), 1.0).otherwise(0.0).alias("structure"), F.col("topic_score").alias("topic"), F.least("header_score", "body_score").alias("semantic"))
+    n = F.size("__heads")
+    semantic = count("__named", lambda x: has_key(x) | (jaccard(tokens(x), F.col("__topic")) > 0))
+    generic = count("__named", lambda x: x.isin(*GENERIC_HEADERS))
+    t = t.withColumns({"title_raw": title, "__semantic": semantic, "__generic": generic, "__n": n, "__m": F.size("__named"), "__distinct": F.size(F.array_distinct("__named"))})
+    parts = 0.5 * F.col("__m") / F.col("__n") + 0.25 * F.col("__distinct") / F.col("__n") + 0.25 * F.col("__semantic") / F.col("__n") - 0.08 * F.col("__generic") / F.col("__n")
+    header = F.when(F.col("__n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts)))
+    topic_hit = ((topic != "") & F.contains("__corpus", topic)) | (jaccard(tokens(F.col("__corpus")), F.col("__topic")) > 0)
+    title_part = F.when((F.col("simple") | (F.col("__title") != "")) & topic_hit, 1.0).otherwise(0.45)
+    keyword_part = F.when(F.size("__k") == 0, 0.7).otherwise(F.least(F.lit(1.0), count("__k", lambda k: F.contains("__corpus", k)) / 3))
+    header_part = F.least(F.lit(1.0), count("__shown", has_key) / F.greatest(F.lit(1), F.least(F.lit(3), F.size("__shown"))))
+    body_part = F.least(F.lit(1.0), count("__bodies", has_key) / F.greatest(F.lit(1), F.least(F.lit(4), F.size("__bodies"))))
+    consistent = 0.25 * title_part + 0.35 * keyword_part + 0.25 * header_part + 0.15 * body_part
+    one = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
+    t = t.withColumns({"header_raw": header, "topic_raw": consistent})
+    errors = (F.col("__n") - F.col("__m")) + one(F.col("__n") == 0) + one(~F.col("simple") & (F.col("title_raw") <= 0)) + one(F.col("topic_raw") < 0.35)
+    warnings = (
+        one(F.col("simple") & (F.col("__title") != ""))
+        + one(~F.col("simple") & (F.col("title_raw") == 0.75))
+        + one(F.col("__distinct") < F.col("__m"))
+        + one(F.col("__generic") > 0)
+        + one((F.col("__n") > 0) & (F.col("__semantic") == 0) & (F.size("__k") > 0))
+        + one((F.col("topic_raw") >= 0.35) & (F.col("topic_raw") < 0.6))
+    )
+    raw = ["title_raw", "header_raw", "topic_raw"]
+    t = t.withColumns({"__errors": errors, "__warnings": warnings})
+    body = spread_body(t.select(TABLE, *keep, *raw, "__errors", "__warnings", "cells", "__headers", "__first"), *keep, *raw, "__errors", "__warnings")
+    body = body.withColumn("__s", F.when(F.col("ordinal").isNotNull(), score_cell(F.col("header"), F.col("text"))))
+    issue = F.col("__s.issue")
+    by = [TABLE, *[k for k in keep if k != TABLE]]
+    told = body.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in (*raw, "__errors", "__warnings")],
+        F.count("ordinal").alias("__bodies"),
+        F.coalesce(F.avg("__s.score"), F.lit(1.0)).alias("body_raw"),
+        F.count_if(issue.isin(*ERRORS)).alias("__body_errors"),
+        F.count_if(issue.isNotNull() & ~issue.isin(*ERRORS)).alias("__body_warnings"),
+    )
+    r = lambda c: F.round(c + 1e-9, 4)
+    score = r(0.18 * F.col("title_raw") + 0.27 * F.col("header_raw") + 0.40 * F.col("body_raw") + 0.15 * F.col("topic_raw"))
+    told = told.withColumns({"score": score, "errors": (F.col("__errors") + F.col("__body_errors")).cast("long")})
+    low = (F.col("errors") == 0) & (F.col("score") < MINIMUM)
+    warned = F.col("__warnings") + F.col("__body_warnings") + (F.col("__bodies") == 0).cast("int") + low.cast("int")
+    dims = [r(F.col(f"{d}_raw")).alias(f"{d}_score") for d in DIMENSIONS]
+    return told.select(*by, *dims, "score", "errors", warned.cast("long").alias("warnings"), ((F.col("errors") == 0) & (F.col("score") >= MINIMUM)).alias("ok"))
+
+
+def table_scores(cells: DataFrame) -> DataFrame:
+    """table_id, title_score, header_score, body_score, topic_score, score, errors, warnings, ok of every table.
+
+    Cells have domain, topic, simple and, if wanted, scenario.  ``ok``: no errors and a score of 0.58 or more.  Body cells
+    that are empty, or of another kind than their header asks for, are errors; those that only look odd are warnings.
+    """
+    keep = ["domain", "topic", "simple", *(["scenario"] if "scenario" in cells.columns else [])]
+    return scored_tables(folded(cells, *keep))
+
+
+def messages(cells: DataFrame) -> DataFrame:
+    """table_id, severity, seq, message: what is wrong with a table as texts, errors and warnings each in the order found."""
+    scenario = F.col("scenario") if "scenario" in cells.columns else None
+    keep = ["domain", "topic", "simple", *(["scenario"] if scenario is not None else [])]
+    s = table_scores(cells)
+    heads = cells.where("role = 'header'").withColumn("t", F.trim("text"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    place = text("(", F.col("row").cast("string"), ", ", F.col("col").cast("string"), ")")
+    at = lambda phase, ordinal, severity, message: F.struct(F.lit(severity).alias("severity"), F.lit(phase).alias("phase"), ordinal.cast("int").alias("ordinal"), message.alias("message"))
+    zero = F.lit(0)
+    out = heads.where("t = ''").select(TABLE, at(2, F.col("ordinal"), "error", text("empty header cell at ", place)).alias("m"))
+    body = cell_scores(cells).where("issue IS NOT NULL")
+    named = {
+        "empty": ("error", text("empty body cell at ", place)),
+        "percent": ("error", text("percentage-like column has non-percentage value at ", place)),
+        "numeric": ("error", text("numeric-like column has non-numeric value at ", place)),
+        "semantic_mismatch": ("warning", text("body cell at ", place, " does not match header '", F.col("header"), "'")),
+        "weak_text": ("warning", text("body cell at ", place, " looks generic for header '", F.col("header"), "'")),
+    }
+    told = None
+    for issue, (severity, message) in named.items():
+        one = at(4, F.col("ordinal"), severity, message)
+        told = F.when(F.col("issue") == issue, one) if told is None else told.when(F.col("issue") == issue, one)
+    out = out.unionByName(body.select(TABLE, told.alias("m")))
+    t = folded(cells, *keep).withColumns({"__k": keyword_array(F.col("domain"), F.col("topic"), scenario)})
+    texts = lambda role: F.filter(F.transform(F.filter("cells", lambda c: c["role"] == role), lambda c: F.trim(c["text"])), lambda x: x != "")
+    counted = lambda role: F.size(F.filter("cells", lambda c: c["role"] == role))
+    named_heads = texts("header")
+    twice = F.size(named_heads) - F.size(F.array_distinct(named_heads))
+    generic = F.size(F.filter(named_heads, lambda x: x.isin(*GENERIC_HEADERS)))
+    signal = F.exists(named_heads, lambda x: F.exists("__k", lambda k: F.contains(x, k)) | (jaccard(tokens(x), tokens(F.col("topic"))) > 0))
+    t = t.join(s, TABLE)
+    whole = [
+        F.when(F.col("simple") & (F.size(texts("title")) > 0), at(1, zero, "warning", text("simple table unexpectedly contains a title row"))),
+        F.when(~F.col("simple") & (counted("title") == 0), at(1, zero, "error", text("complex table is missing a title cell")))
+        .when(~F.col("simple") & (F.size(texts("title")) == 0), at(1, zero, "error", text("complex table title is empty")))
+        .when(~F.col("simple") & (F.col("title_score") == 0), at(1, zero, "error", text("complex table title does not contain or align with the planned topic")))
+        .when(~F.col("simple") & (F.col("title_score") == 0.75), at(1, zero, "warning", text("complex table title is related to the planned topic but not exact"))),
+        F.when(counted("header") == 0, at(2, zero, "error", text("table has no header cells"))),
+        F.when(twice > 0, at(3, zero, "warning", text("header duplication detected in ", twice.cast("string"), " header cells"))),
+        F.when(generic > 0, at(3, zero + 1, "warning", text("generic header text detected in ", generic.cast("string"), " header cells"))),
+        F.when((counted("header") > 0) & ~signal & (F.size("__k") > 0), at(3, zero + 2, "warning", text("headers do not contain topic or semantic scenario signals"))),
+        F.when(counted("body") == 0, at(4, zero, "warning", text("table has no body cells"))),
+        F.when(F.col("topic_score") < 0.35, at(5, zero, "error", text("table content is not aligned with the planned topic or semantic scenario"))).when(F.col("topic_score") < 0.6, at(5, zero, "warning", text("weak topic or semantic scenario consistency"))),
+        F.when((F.col("errors") == 0) & (F.col("score") < MINIMUM), at(6, zero, "warning", F.format_string("overall filling score %.3f below threshold %.3f", F.col("score"), F.lit(MINIMUM)))),
+    ]
+    out = out.unionByName(t.select(TABLE, F.explode(F.array_compact(F.array(*whole))).alias("m")))
+    order = Window.partitionBy(TABLE, "m.severity").orderBy("m.phase", "m.ordinal")
+    return out.select(TABLE, F.col("m.severity").alias("severity"), (F.row_number().over(order) - 1).alias("seq"), F.col("m.message").alias("message"))
+
+
+def policy(scores: DataFrame, valid: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """structure, topic, semantic, overall, ranking, passed from table scores and validity (ok).
+
+    ``model``: table_id, topic_model, semantic_model; a model's score that is there takes the place of the rule's.
+    """
+    t = scores.drop("ok").join(valid.select(TABLE, "ok"), TABLE)
+    if model is not None:
+        t = t.join(model.select(TABLE, "topic_model", "semantic_model"), TABLE, "left")
+    else:
+        none = F.lit(None).cast("double")
+        t = t.withColumns({"topic_model": none, "semantic_model": none})
+    t = t.select("*", F.when(F.col("ok"), 1.0).otherwise(0.0).alias("structure"), F.coalesce("topic_model", "topic_score").alias("topic"), F.coalesce("semantic_model", F.least("header_score", "body_score")).alias("semantic"))
     low = F.least("structure", "topic", "semantic")
     return t.select(
         TABLE,
         "structure",
-        "topic",
-        "semantic",
+        F.round(F.col("topic") + 1e-9, 4).alias("topic"),
+        F.round(F.col("semantic") + 1e-9, 4).alias("semantic"),
         F.round(low + 1e-9, 4).alias("overall"),
         F.round(0.35 * F.col("structure") + 0.25 * F.col("topic") + 0.40 * F.col("semantic") + 1e-9, 4).alias("ranking"),
-        (F.col("ok") & (F.col("errors") == 0) & (low >= 0.58)).alias("passed"),
+        (F.col("ok") & (F.col("errors") == 0) & (low >= MINIMUM)).alias("passed"),
     )
 
 
 def select_best(candidates: DataFrame, request: str, key: str) -> DataFrame:
-    """The best passing candidate of each request: ranking, overall, then the smaller key.
+    """The best candidate of each request that passes and is no duplicate: ranking, overall, then the smaller key.
+
+    An aggregate rather than a window: map-side partial, so a hot request is no bottleneck.  Without a column
+    ``duplicate`` none is one.
+    """
+    fit = F.col("passed")
+    if "duplicate" in candidates.columns:
+        fit = fit & ~F.coalesce("duplicate", F.lit(False))
+    best = candidates.where(fit).groupBy(request).agg(F.max(F.struct("ranking", "overall", (-F.col(key)).alias("__k"))).alias("b"))
+    return best.select(request, (-F.col("b.__k")).alias(key), F.col("b.ranking").alias("ranking"), F.col("b.overall").alias("overall"))
+
+
+def repair_decision(scores: DataFrame, told: DataFrame) -> DataFrame:
+    """table_id, action, cells, columns, codes: what to do about a table that does not pass.
 
-    An aggregate rather than a window: map-side partial, so a hot request is no bottleneck.
+    ``told``: ``messages``.  Located messages name the cells to repair, errors before warnings, and their columns.
     """
-    best = candidates.where("passed").groupBy(request).agg(F.max(F.struct("ranking", "overall", (-F.col(key)).alias("_k"))).alias("b"))
-    return best.select(request, (-F.col("b._k")).alias(key), F.col("b.ranking").alias("ranking"), F.col("b.overall").alias("overall"))
+    at = issue_location(F.col("message"))
+    rank = F.when(F.col("severity") == "error", 0).otherwise(1)
+    one = told.select(TABLE, F.struct(rank.alias("r"), "seq", at.alias("at"), issue_code(F.col("message")).alias("code")).alias("m"))
+    listed = one.groupBy(TABLE).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    where = F.transform(F.filter("m", lambda x: x["at"].isNotNull()), lambda x: x["at"])
+    found = listed.select(TABLE, where.alias("cells"), F.transform("m", lambda x: x["code"]).alias("codes"))
+    none = F.array().cast("array<struct<row:int,col:int>>")
+    t = scores.select(TABLE, "title_score", "header_score").join(found, TABLE, "left").withColumns({"cells": F.coalesce("cells", none), "codes": F.coalesce("codes", F.array().cast("array<string>"))})
+    action = F.when(F.col("title_score") <= 0, "rebuild_schema").when(F.col("header_score") <= 0, "repair_header").when(F.size("cells") > 0, "repair_cells").otherwise("repair_body")
+    columns = F.array_sort(F.array_distinct(F.transform("cells", lambda x: x["col"])))
+    t = t.withColumns({"action": action, "columns": columns})
+    return t.select(TABLE, "action", F.when(F.col("action") == "repair_cells", F.col("cells")).otherwise(none).alias("cells"), F.when(F.col("action").isin("repair_cells", "repair_header"), F.col("columns")).otherwise(F.array().cast("array<int>")).alias("columns"), "codes")
 
 
 def repair_action(scores: DataFrame, cells: DataFrame) -> DataFrame:
-    """table_id, action, targets: what to do about a table that does not pass."""
-    located = cell_scores(cells).where("issue IS NOT NULL").groupBy(TABLE).agg(F.count(F.lit(1)).alias("targets"))
-    t = scores.join(located, TABLE, "left").na.fill({"targets": 0})
-    action = F.when(F.col("title_score") <= 0, "rebuild_schema").when(F.col("header_score") <= 0, "repair_header").when(F.col("targets") > 0, "repair_cells").otherwise("repair_body")
-    return t.select(TABLE, action.alias("action"), "targets")
+    """table_id, action, targets (how many cells): ``repair_decision`` in short."""
+    return repair_decision(scores, messages(cells)).select(TABLE, "action", F.size("cells").alias("targets"))
+
+
+def structure_repair(valid: DataFrame) -> DataFrame:
+    """table_id, action of tables that are not valid: their schema is always built anew."""
+    return valid.where("NOT ok").select(TABLE, F.lit("rebuild_schema").alias("action"))
 
 
 def low_dimensions(scores: DataFrame, limit: int = 3, below: float = 0.6) -> DataFrame:
     """table_id, low: the weakest dimensions as name:score, ascending."""
-    dims = F.array(*[F.struct(F.col(f"{d}_score").alias("s"), F.lit(d).alias("d")) for d in ("title", "header", "body", "topic")])
+    return scores.select(TABLE, low_text(limit, below, 4).alias("low"))
+
+
+def low_text(limit: int, below: float, places: int) -> Column:
+    named = lambda d: "topic_consistency" if d == "topic" and places == 3 else d
+    dims = F.array(*[F.struct(F.col(f"{d}_score").alias("s"), F.lit(i if places == 3 else 0).alias("i"), F.lit(named(d)).alias("d")) for i, d in enumerate(DIMENSIONS)])
     low = F.slice(F.array_sort(F.filter(dims, lambda x: x["s"] < below)), 1, limit)
-    return scores.select(TABLE, F.array_join(F.transform(low, lambda x: F.concat(x["d"], F.lit(":"), x["s"].cast("decimal(6,4)").cast("string"))), ",").alias("low"))
+    shown = (lambda x: F.format_string("%.3f", x["s"])) if places == 3 else (lambda x: x["s"].cast("decimal(6,4)").cast("string"))
+    return F.array_join(F.transform(low, lambda x: F.concat(x["d"], F.lit(":"), shown(x))), ",")
+
+
+def error_texts(scores: DataFrame, told: DataFrame, most: int = 5) -> DataFrame:
+    """table_id, error: one line on a table that failed: scores, low dimensions, then the first errors (else warnings)."""
+    listed = told.where(F.col("seq") < most).groupBy(TABLE, "severity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("t"))
+    both = listed.groupBy(TABLE).agg(F.max(F.when(F.col("severity") == "error", F.col("t"))).alias("e"), F.max(F.when(F.col("severity") == "warning", F.col("t"))).alias("w"))
+    t = scores.join(both, TABLE, "left").withColumn("__low", low_text(3, 0.6, 3))
+    head = F.format_string("invalid table filling (score=%.3f, title=%.3f, header=%.3f, body=%.3f, topic_consistency=%.3f", "score", "title_score", "header_score", "body_score", "topic_score")
+    low = F.when(F.col("__low") != "", F.concat(F.lit(", low_dimensions="), F.col("__low"))).otherwise("")
+    return t.select(TABLE, F.concat(head, low, F.lit("): "), F.coalesce("e", "w", F.lit("no detailed filling issue reported"))).alias("error"))
 
 
 def first_of_signature(pool: DataFrame, request: str, text: str, key: str) -> DataFrame:
-    """Adds duplicate: whether an earlier row of the request has the same signature."""
-    order = Window.partitionBy(request, "signature").orderBy(key)
-    return pool.withColumn("signature", F.sha2(F.col(text), 256)).withColumn("duplicate", F.row_number().over(order) > 1)
+    """Adds signature, duplicate and reason: whether an earlier row of the request has the same signature."""
+    return with_duplicates(pool.withColumn("signature", F.sha2(F.col(text), 256)), request, key)
+
+
+def with_duplicates(pool: DataFrame, request: str, key: str) -> DataFrame:
+    """Adds duplicate and reason to rows with a signature: the first row of a request's signature wins.
+
+    The first key of a signature is an aggregate, joined back, so a signature that many rows share is no hot window.
+    """
+    first = pool.groupBy(request, "signature").agg(F.min(key).alias("__first"))
+    met = pool.join(first, [request, "signature"]).withColumn("duplicate", F.col(key) > F.col("__first")).drop("__first")
+    return met.withColumn("reason", F.when(F.col("duplicate"), "duplicate_candidate"))

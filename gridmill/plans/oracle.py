@@ -62,8 +62,8 @@ HEADS = """
 over_col AS (SELECT table_id, ordinal, text, unnest(range(col, col + colspan)) AS col FROM cells WHERE role = 'header'),
 heads AS (SELECT table_id, col, coalesce(arg_max(trim(text), ordinal) FILTER (trim(text) <> ''), arg_max(text, ordinal)) AS header FROM over_col GROUP BY ALL),"""
 CELLSCORES = f"""{HEADS}
-bodies AS (SELECT c.table_id, c.ordinal, c.row, c.col, coalesce(header, '') AS h, trim(text) AS t FROM cells c LEFT JOIN heads USING (table_id, col) WHERE role = 'body'),
-kinds AS (SELECT *, {KIND} AS kind, {SUITS} AS suits, ends_with(t, '%') AND {numeric("trim(regexp_replace(t, '%$', ''))")} AS pct, {numeric('t')} AS num FROM bodies),
+bodies AS MATERIALIZED (SELECT c.table_id, c.ordinal, c.row, c.col, coalesce(header, '') AS h, trim(text) AS t FROM cells c LEFT JOIN heads USING (table_id, col) WHERE role = 'body'),
+kinds AS MATERIALIZED (SELECT *, {KIND} AS kind, {SUITS} AS suits, ends_with(t, '%') AND {numeric("trim(regexp_replace(t, '%$', ''))")} AS pct, {numeric('t')} AS num FROM bodies),
 cs AS (SELECT table_id, ordinal, row, col, h AS header,
  CASE WHEN t = '' THEN 0.0 WHEN kind = 'percent' THEN CASE WHEN pct THEN 1.0 ELSE 0.0 END WHEN kind = 'numeric' THEN CASE WHEN num THEN 1.0 ELSE 0.0 END WHEN NOT suits THEN 0.35
   WHEN kind = 'entity' THEN CASE WHEN {has('t', T.ENTITY_WORDS)} THEN 0.95 ELSE 0.7 END WHEN kind = 'status' THEN CASE WHEN {has('t', T.STATUS_WORDS)} THEN 0.95 ELSE 0.75 END
@@ -83,18 +83,22 @@ facts AS (SELECT table_id, any_value(simple) AS simple, any_value(topic) AS topi
   count(*) FILTER (role = 'header' AND t IN {T.GENERIC_HEADERS}) AS generic, count(*) FILTER (role = 'header' AND t <> '' AND (hit OR {_jac('t', 'topic')} > 0)) AS semantic,
   count(*) FILTER (role = 'body' AND t <> '') AS nb, count(*) FILTER (role = 'body' AND t <> '' AND hit) AS hb FROM hits GROUP BY 1),
 shown AS (SELECT f.table_id, count(DISTINCT trim(header)) AS shown, count(DISTINCT trim(header)) FILTER (len(list_filter(kws, lambda w: contains(trim(header), w))) > 0) AS shown_hits FROM heads JOIN facts f USING (table_id) WHERE trim(header) <> '' GROUP BY 1),
-bs AS (SELECT table_id, avg(score) AS body, count(*) FILTER (issue IS NOT NULL AND issue <> 'weak_text') AS errs FROM cs GROUP BY 1),
-dims AS (SELECT table_id, n, filled, coalesce(errs, 0) AS errs, coalesce(body, 1.0) AS body,
+bs AS (SELECT table_id, avg(score) AS body, count(*) FILTER (issue IN ('empty', 'percent', 'numeric')) AS errs, count(*) FILTER (issue IN ('semantic_mismatch', 'weak_text')) AS weak FROM cs GROUP BY 1),
+dims AS (SELECT table_id, simple, title AS title_text, n, filled, uniq, generic, semantic, coalesce(errs, 0) AS errs, coalesce(weak, 0) AS weak, body IS NULL AS bare, coalesce(body, 1.0) AS body,
   CASE WHEN simple THEN CASE WHEN title <> '' THEN 0.9 ELSE 1.0 END WHEN titles = 0 OR title = '' THEN 0.0 WHEN contains(title, topic) THEN 1.0 WHEN {_jac('title', 'topic')} >= 0.5 THEN 0.75 ELSE 0.0 END::DOUBLE AS title,
   CASE WHEN n = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 * filled / n + 0.25 * uniq / n + 0.25 * semantic / n - 0.08 * generic / n)) END::DOUBLE AS header,
   0.25 * CASE WHEN (simple OR title <> '') AND (contains(corpus, topic) OR {_jac('corpus', 'topic')} > 0) THEN 1.0 ELSE 0.45 END + 0.35 * least(1.0, len(list_filter(kws, lambda w: contains(corpus, w))) / 3.0)
    + 0.25 * least(1.0, coalesce(shown_hits, 0)::DOUBLE / greatest(1, least(3, coalesce(shown, 0)))) + 0.15 * least(1.0, hb::DOUBLE / greatest(1, least(4, nb))) AS topic
   FROM facts LEFT JOIN shown USING (table_id) LEFT JOIN bs USING (table_id)),
-scores AS (SELECT table_id, round(title + 1e-9, 4) AS title_score, round(header + 1e-9, 4) AS header_score, round(body + 1e-9, 4) AS body_score, round(topic::DOUBLE + 1e-9, 4) AS topic_score,
-  round((0.18 * title + 0.27 * header + 0.40 * body + 0.15 * topic)::DOUBLE + 1e-9, 4) AS score, (errs + n - filled + CASE WHEN title <= 0 THEN 1 ELSE 0 END + CASE WHEN topic < 0.35 THEN 1 ELSE 0 END + CASE WHEN n = 0 THEN 1 ELSE 0 END)::BIGINT AS errors FROM dims)"""
-POLICY = f"""{SCORES}, ok AS (SELECT table_id, table_id NOT IN (SELECT table_id FROM issues) AS ok FROM (SELECT DISTINCT table_id FROM cells)),
-pol AS (SELECT table_id, CASE WHEN ok THEN 1.0 ELSE 0.0 END::DOUBLE AS structure, topic_score AS topic, least(header_score, body_score) AS semantic,
-  least(CASE WHEN ok THEN 1.0 ELSE 0.0 END, topic_score, header_score, body_score) AS low, ok AND errors = 0 AND least(CASE WHEN ok THEN 1.0 ELSE 0.0 END, topic_score, header_score, body_score) >= 0.58 AS passed FROM scores JOIN ok USING (table_id)),
+totals AS (SELECT *, round((0.18 * title + 0.27 * header + 0.40 * body + 0.15 * topic)::DOUBLE + 1e-9, 4) AS score,
+  (errs + n - filled + CASE WHEN NOT simple AND title = 0 THEN 1 ELSE 0 END + CASE WHEN topic < 0.35 THEN 1 ELSE 0 END + CASE WHEN n = 0 THEN 1 ELSE 0 END)::BIGINT AS errors,
+  weak + CASE WHEN simple AND title_text <> '' THEN 1 ELSE 0 END + CASE WHEN NOT simple AND title = 0.75 THEN 1 ELSE 0 END + CASE WHEN uniq < filled THEN 1 ELSE 0 END + CASE WHEN generic > 0 THEN 1 ELSE 0 END
+   + CASE WHEN n > 0 AND semantic = 0 THEN 1 ELSE 0 END + CASE WHEN topic >= 0.35 AND topic < 0.6 THEN 1 ELSE 0 END + CASE WHEN bare THEN 1 ELSE 0 END AS noted FROM dims),
+scores AS (SELECT table_id, round(title + 1e-9, 4) AS title_score, round(header + 1e-9, 4) AS header_score, round(body + 1e-9, 4) AS body_score, round(topic::DOUBLE + 1e-9, 4) AS topic_score, score, errors,
+  (noted + CASE WHEN errors = 0 AND score < 0.58 THEN 1 ELSE 0 END)::BIGINT AS warnings, errors = 0 AND score >= 0.58 AS ok FROM totals)"""
+POLICY = f"""{SCORES}, checked AS (SELECT table_id, table_id NOT IN (SELECT table_id FROM issues) AS sound FROM (SELECT DISTINCT table_id FROM cells)),
+pol AS (SELECT table_id, CASE WHEN sound THEN 1.0 ELSE 0.0 END::DOUBLE AS structure, topic_score AS topic, least(header_score, body_score) AS semantic,
+  least(CASE WHEN sound THEN 1.0 ELSE 0.0 END, topic_score, header_score, body_score) AS low, sound AND errors = 0 AND least(CASE WHEN sound THEN 1.0 ELSE 0.0 END, topic_score, header_score, body_score) >= 0.58 AS passed FROM scores JOIN checked USING (table_id)),
 policy AS (SELECT table_id, structure, topic, semantic, round(low::DOUBLE + 1e-9, 4) AS overall, round((0.35 * structure + 0.25 * topic + 0.40 * semantic)::DOUBLE + 1e-9, 4) AS ranking, passed FROM pol)"""
 _pick = lambda names, by: "CASE " + f"{by} % {len(names)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
 META = f"""meta AS (SELECT o_orderkey AS table_id, CASE WHEN o_orderkey % 61 = 0 THEN '' ELSE 'img/' || o_orderkey || '.jpg' END AS filename, 'img/' || o_orderkey || '.jpg' AS image,
@@ -130,6 +134,8 @@ COPY = """SELECT v.table_id, rows + size AS rows, ordinal, CASE WHEN row >= star
 DELETE = "SELECT table_id, rows - size AS rows, ordinal, CASE WHEN row >= start + size THEN row - size ELSE row END AS row, col, rowspan, colspan, text FROM valid JOIN lastreg USING (table_id) WHERE NOT (row >= start AND row + rowspan <= start + size) AND size < rows"
 SWAP = """SELECT table_id, rows, ordinal, CASE WHEN row >= s1 AND row < s1 + z1 THEN row + s2 - s1 + z2 - z1 WHEN row >= s2 AND row < s2 + z2 THEN row - s2 + s1 WHEN row >= s1 + z1 AND row < s2 THEN row + z2 - z1 ELSE row END AS row, col, rowspan, colspan, text
  FROM valid JOIN ends USING (table_id) WHERE s1 + z1 <= s2"""
+PLAIN = "plain AS (SELECT table_id, arg_min(text, ordinal) AS t1, min(ordinal) AS o1, arg_max(text, ordinal) AS t2, max(ordinal) AS o2 FROM valid WHERE role = 'body' AND rowspan = 1 AND colspan = 1 AND table_id NOT IN (SELECT table_id FROM ends) GROUP BY 1 HAVING count(*) > 1)"
+SWAP_CELLS = "SELECT table_id, rows, ordinal, row, col, rowspan, colspan, CASE ordinal WHEN o1 THEN t2 WHEN o2 THEN t1 ELSE text END AS text FROM valid JOIN plain USING (table_id)"
 
 ORACLE: dict[str, str] = {
     "validate_tables": _sql(*GI, "SELECT table_id, code, ordinal, row, col FROM issues"),
@@ -142,13 +148,14 @@ ORACLE: dict[str, str] = {
     "copy_region": _sql(*GI, REGIONS, COPY),
     "delete_region": _sql(*GI, REGIONS, DELETE),
     "swap_regions": _sql(*GI, REGIONS, SWAP),
-    "swap_cells": _sql(*GI, "SELECT table_id, ordinal, CASE ordinal WHEN 8 THEN (SELECT text FROM valid b WHERE b.table_id = v.table_id AND b.ordinal = 9) WHEN 9 THEN (SELECT text FROM valid b WHERE b.table_id = v.table_id AND b.ordinal = 8) ELSE text END AS text FROM valid v"),
+    "swap_cells": _sql(*GI, "pairs AS MATERIALIZED (SELECT table_id, max(text) FILTER (ordinal = 8) AS a, max(text) FILTER (ordinal = 9) AS b FROM valid WHERE ordinal IN (8, 9) GROUP BY 1)", "SELECT table_id, ordinal, CASE ordinal WHEN 8 THEN b WHEN 9 THEN a ELSE text END AS text FROM valid JOIN pairs USING (table_id)"),
     "alter_background": _sql(*GI, REGIONS, "SELECT table_id, ordinal, CASE WHEN row >= start AND row + rowspan <= start + size THEN '#eee' END AS background FROM valid JOIN lastreg USING (table_id)"),
-    "augment": _sql(*GI, REGIONS, f"""SELECT 'copy' AS transformation, {VALIDCOLS} FROM ({COPY}) UNION ALL SELECT 'delete', {VALIDCOLS} FROM ({DELETE}) UNION ALL SELECT 'swap', {VALIDCOLS} FROM ({SWAP}) UNION ALL SELECT 'alter', {VALIDCOLS} FROM valid JOIN lastreg USING (table_id)"""),
-    "fallback_grid": _sql(*G, """titles AS (SELECT table_id, arg_min(text, ordinal) AS title FROM cells WHERE role = 'title' GROUP BY 1)""", """slot AS (SELECT f.table_id, f.ordinal, f.role, f.text, r AS row, c AS col FROM cells f, LATERAL (SELECT unnest(range(f.row, f.row + f.rowspan)) AS r), LATERAL (SELECT unnest(range(f.col, f.col + f.colspan)) AS c) WHERE role <> 'title' AND r < rows AND c < cols)""",
-        """src AS (SELECT table_id, row, col, min(ordinal) AS source, arg_min(role, ordinal) AS role, arg_min(text, ordinal) AS text FROM slot GROUP BY ALL)""",
-        """SELECT g.table_id, g.row, g.col, 1 AS colspan, coalesce(role, 'body') AS role, coalesce(text, '') AS text, source FROM (SELECT table_id, r AS row, c AS col FROM (SELECT DISTINCT table_id, rows, cols FROM cells) t, LATERAL (SELECT unnest(range(1, t.rows)) AS r), range(6) x(c)) g LEFT JOIN src s ON s.table_id = g.table_id AND s.row = g.row AND s.col = g.col
-           UNION ALL SELECT table_id, 0, 0, 6, 'title', title, NULL FROM titles"""),
+    "augment": _sql(*GI, REGIONS, PLAIN, f"""SELECT 'copy' AS transformation, {VALIDCOLS} FROM ({COPY}) UNION ALL SELECT 'delete', {VALIDCOLS} FROM ({DELETE}) UNION ALL SELECT 'swap', {VALIDCOLS} FROM ({SWAP}) UNION ALL SELECT 'swap', {VALIDCOLS} FROM ({SWAP_CELLS}) UNION ALL SELECT 'alter', {VALIDCOLS} FROM valid JOIN lastreg USING (table_id)"""),
+    "fallback_grid": _sql(*G, """titles AS (SELECT table_id, any_value(rows) AS rows, arg_min(text, ordinal) AS title, min(ordinal) AS source FROM cells WHERE role = 'title' GROUP BY 1)""", """slot AS (SELECT f.table_id, f.ordinal, f.role, f.text, r AS row, c AS col FROM cells f, LATERAL (SELECT unnest(range(f.row, f.row + greatest(1, f.rowspan))) AS r), LATERAL (SELECT unnest(range(f.col, f.col + greatest(1, f.colspan))) AS c) WHERE r < rows AND c < cols)""",
+        """src AS (SELECT table_id, row, col, min(ordinal) AS source, arg_min(role, ordinal) AS role, arg_min(text, ordinal) AS text FROM slot GROUP BY ALL)""", """hrow AS (SELECT DISTINCT table_id, row FROM cells WHERE role = 'header')""",
+        """SELECT g.table_id, 1 + (g.row - 1) * 6 + g.col AS ordinal, g.row, g.col, 1 AS colspan, CASE WHEN s.role IN ('header', 'body') THEN s.role WHEN h.row IS NOT NULL THEN 'header' ELSE 'body' END AS role, coalesce(text, '') AS text, source FROM (SELECT table_id, r AS row, c AS col FROM (SELECT DISTINCT table_id, rows, cols FROM cells) t, LATERAL (SELECT unnest(range(1, t.rows)) AS r), range(6) x(c)) g
+           LEFT JOIN src s ON s.table_id = g.table_id AND s.row = g.row AND s.col = g.col LEFT JOIN hrow h ON h.table_id = g.table_id AND h.row = g.row
+           UNION ALL SELECT table_id, 0, 0, 0, 6, 'title', title, source FROM titles"""),
     "structure_tokens": _sql(*G, f"rowsof AS (SELECT table_id, row, string_agg('<td' || {MARK} || '></td>', '' ORDER BY col, ordinal) AS s FROM cells GROUP BY ALL)", "SELECT table_id, string_agg('<tr>' || s || '</tr>', '' ORDER BY row) AS tokens FROM rowsof GROUP BY 1"),
     "build_html": _sql(*G, f"rowsof AS (SELECT table_id, row, string_agg('<' || tag || {MARK} || '>' || {ESC} || '</' || tag || '>', '' ORDER BY col, ordinal) AS s FROM cells GROUP BY ALL)", "SELECT table_id, '<table>' || string_agg('<tr>' || s || '</tr>', '' ORDER BY row) || '</table>' AS html FROM rowsof GROUP BY 1"),
     "parse_html": _sql(*GI, "SELECT table_id, row, col, rowspan, colspan, tag, text FROM valid"),
@@ -158,7 +165,7 @@ ORACLE: dict[str, str] = {
     "table_scores": _sql(*G, SCORES, "SELECT * FROM scores"),
     "score_policy": _sql(*GI, POLICY, "SELECT * FROM policy"),
     "select_best": _sql(*GI, POLICY, "SELECT request, table_id, ranking, overall FROM (SELECT *, table_id % 100 AS request, row_number() OVER (PARTITION BY table_id % 100 ORDER BY ranking DESC, overall DESC, table_id) AS q FROM policy WHERE passed) WHERE q = 1"),
-    "repair_action": _sql(*G, SCORES, "SELECT s.table_id, CASE WHEN title_score <= 0 THEN 'rebuild_schema' WHEN header_score <= 0 THEN 'repair_header' WHEN coalesce(t, 0) > 0 THEN 'repair_cells' ELSE 'repair_body' END AS action, coalesce(t, 0) AS targets FROM scores s LEFT JOIN (SELECT table_id, count(*) AS t FROM cs WHERE issue IS NOT NULL GROUP BY 1) USING (table_id)"),
+    "repair_action": _sql(*G, SCORES, "located AS (SELECT table_id, count(*) AS t FROM (SELECT table_id FROM cs WHERE issue IS NOT NULL UNION ALL SELECT table_id FROM cells WHERE role = 'header' AND trim(text) = '') GROUP BY 1)", "decided AS (SELECT s.table_id, CASE WHEN title_score <= 0 THEN 'rebuild_schema' WHEN header_score <= 0 THEN 'repair_header' WHEN coalesce(t, 0) > 0 THEN 'repair_cells' ELSE 'repair_body' END AS action, coalesce(t, 0) AS t FROM scores s LEFT JOIN located USING (table_id))", "SELECT table_id, action, CASE WHEN action = 'repair_cells' THEN t ELSE 0 END AS targets FROM decided"),
     "low_dimensions": _sql(*G, SCORES, "low AS (SELECT table_id, unnest(['title', 'header', 'body', 'topic']) AS d, unnest([title_score, header_score, body_score, topic_score]) AS s FROM scores)", "SELECT t.table_id, coalesce(string_agg(d || ':' || s::DECIMAL(6,4)::VARCHAR, ',' ORDER BY s, d) FILTER (q <= 3), '') AS low FROM (SELECT DISTINCT table_id FROM scores) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY s, d) AS q FROM low WHERE s < 0.6) USING (table_id) GROUP BY 1"),
     "structure_scores": _sql(*GI, EVAL, "SELECT * FROM ss"),
     "text_accuracy": _sql(*GI, EVAL, "SELECT * FROM acc"),

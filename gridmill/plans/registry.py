@@ -218,9 +218,9 @@ QUERIES: dict[str, Query] = {
     "delete_region": on_valid(lambda c: G.delete_region(c, last_region(c)).select(SHOWN)),
     "swap_regions": on_valid(lambda c: G.swap_regions(c, end_regions(c)).select(SHOWN)),
     "swap_cells": on_valid(swap_first_body),
-    "alter_background": on_valid(lambda c: G.alter_background(c, last_region(c), "#eee").select("table_id", "ordinal", "background")),
+    "alter_background": on_valid(lambda c: G.alter_background(c, last_region(c), "#eee").select("table_id", "ordinal", F.col("visual")["background-color"].alias("background"))),
     "augment": on_valid(lambda c: G.augment(c).select("transformation", *SHOWN)),
-    "fallback_grid": on_cells(G.fallback),
+    "fallback_grid": on_cells(lambda c: G.fallback(c).select("table_id", "ordinal", "row", "col", "colspan", "role", "text", "source")),
     "structure_tokens": on_cells(G.structure_tokens),
     "build_html": on_cells(G.build_html),
     "parse_html": on_valid(round_trip),
