@@ -29,6 +29,27 @@ PLACEHOLDERS = ("数据", "内容", "示例", "待填", "未知", "暂无")
 ENTITY_WORDS = ("区", "部", "组", "项目", "部门", "中心", "站", "工")
 STATUS_WORDS = ("正常", "完成", "待", "进行", "复核", "优化", "跟进", "异常")
 
+# What a text below a header must hold, phrases of messages by class and by code.
+DATE_MARKS, ID_MARKS, PERSON_MARKS = ("-", "/", "年", "月"), ("BS", "单", "编号"), ("工", "员", "经理", "主管", "张", "李", "王", "赵", "陈")
+COMPLAINT_HEADER, COMPLAINT_MARKS = "投诉类型", ("慢", "掉线", "计费", "延迟", "信号", "服务", "投诉")
+PACKAGE_HEADER, PACKAGE_MARKS = "套餐", ("套餐", "流量包")
+PERIOD_HEADER, PERIOD_MARKS = "时段", ("峰", "午", "夜", "节假日", "工作日", "时")
+ERROR_CLASSES = {
+    "schema_invalid": ("invalid table schema",),
+    "filling_low_score": ("invalid table filling",),
+    "render_failed": ("render", "selenium", "webdriver"),
+    "unsupported_request": ("unsupported request",),
+    "budget_exhausted": ("budget exhausted",),
+}
+ISSUE_CODES = {
+    "header_incomplete": ("empty header", "no header"),
+    "empty_cell": ("empty body",),
+    "invalid_cell_type": ("non-percentage", "non-numeric"),
+    "header_body_mismatch": ("does not match header",),
+    "topic_mismatch": ("topic", "semantic scenario"),
+    "duplicate_content": ("duplication", "duplicate"),
+}
+
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
@@ -60,6 +81,17 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "</?[bi]>| ", ""))
 
 
+#: What a style leaves in a cell's text that shows nothing.
+STYLE_MARKS = ("<b>", "</b>", "\u2028", " ", "<i>", "</i>")
+
+
+def without(text: Column, marks: tuple[str, ...] = STYLE_MARKS) -> Column:
+    """A text without some marks, taken out one after the other."""
+    for mark in marks:
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text
+
+
 def tokens(text: Column) -> Column:
     """Distinct runs of letters and digits, lower-cased."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), F.lit(1)))
@@ -94,13 +126,13 @@ def suits_header(header: Column, text: Column) -> Column:
     """Whether a text may stand below a header: the first rule whose hint the header has decides."""
     digit = text.rlike(r"\p{N}")
     return (
-        F.when(has_any(header, DATE_HINTS), digit & has_any(text, ("-", "/", "年", "月")))
-        .when(has_any(header, ID_HINTS), digit | has_any(text, ("BS", "单", "编号")))
-        .when(has_any(header, PERSON_HINTS), has_any(text, ("工", "员", "经理", "主管", "张", "李", "王", "赵", "陈")))
+        F.when(has_any(header, DATE_HINTS), digit & has_any(text, DATE_MARKS))
+        .when(has_any(header, ID_HINTS), digit | has_any(text, ID_MARKS))
+        .when(has_any(header, PERSON_HINTS), has_any(text, PERSON_MARKS))
         .when(has_any(header, COMMENT_HINTS), (F.length(text) > 2) & ~numeric_like(text))
-        .when(header.contains("投诉类型"), has_any(text, ("慢", "掉线", "计费", "延迟", "信号", "服务", "投诉")))
-        .when(header.contains("套餐"), has_any(text, ("套餐", "流量包")))
-        .when(header.contains("时段"), has_any(text, ("峰", "午", "夜", "节假日", "工作日", "时")))
+        .when(header.contains(COMPLAINT_HEADER), has_any(text, COMPLAINT_MARKS))
+        .when(header.contains(PACKAGE_HEADER), has_any(text, PACKAGE_MARKS))
+        .when(header.contains(PERIOD_HEADER), has_any(text, PERIOD_MARKS))
         .otherwise(F.lit(True))
     )
 
@@ -135,30 +167,23 @@ def line_type(style: Column) -> Column:
     return F.when(style.endswith("_full"), "fully_lined").when(style.endswith("_horizontal"), "horizontal_lined").when(style.endswith("_vertical"), "vertical_lined").when(style.endswith("_header"), "header_lined").otherwise("unlined")
 
 
+def first_class(message: Column, classes: dict[str, tuple[str, ...]], other: str) -> Column:
+    """The first class with a phrase that the message holds, in any case of letters."""
+    low = F.lower(message)
+    return F.coalesce(*[F.when(has_any(low, phrases), name) for name, phrases in classes.items()], F.lit(other))
+
+
 def error_class(message: Column) -> Column:
     """Six classes of failure by the first phrase that a message holds."""
-    low = F.lower(message)
-    return (
-        F.when(low.contains("invalid table schema"), "schema_invalid")
-        .when(low.contains("invalid table filling"), "filling_low_score")
-        .when(has_any(low, ("render", "selenium", "webdriver")), "render_failed")
-        .when(low.contains("unsupported request"), "unsupported_request")
-        .when(low.contains("budget exhausted"), "budget_exhausted")
-        .otherwise("generation_failed")
-    )
+    return first_class(message, ERROR_CLASSES, "generation_failed")
 
 
 def issue_code(message: Column) -> Column:
-    low = F.lower(message)
-    return (
-        F.when(has_any(low, ("empty header", "no header")), "header_incomplete")
-        .when(low.contains("empty body"), "empty_cell")
-        .when(has_any(low, ("non-percentage", "non-numeric")), "invalid_cell_type")
-        .when(low.contains("does not match header"), "header_body_mismatch")
-        .when(has_any(low, ("topic", "semantic scenario")), "topic_mismatch")
-        .when(has_any(low, ("duplication", "duplicate")), "duplicate_content")
-        .otherwise("semantic_conflict")
-    )
+    return first_class(message, ISSUE_CODES, "semantic_conflict")
+
+
+def issue_severity(message: Column) -> Column:
+    return F.when(F.lower(message).contains("warning"), "warning").otherwise("error")
 
 
 def issue_location(message: Column) -> Column:

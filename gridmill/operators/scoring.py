@@ -194,7 +194,7 @@ def messages(cells: DataFrame) -> DataFrame:
         F.when((counted("header") > 0) & ~signal & (F.size("__k") > 0), at(3, zero + 2, "warning", text("headers do not contain topic or semantic scenario signals"))),
         F.when(counted("body") == 0, at(4, zero, "warning", text("table has no body cells"))),
         F.when(F.col("topic_score") < 0.35, at(5, zero, "error", text("table content is not aligned with the planned topic or semantic scenario"))).when(F.col("topic_score") < 0.6, at(5, zero, "warning", text("weak topic or semantic scenario consistency"))),
-        F.when((F.col("errors") == 0) & (F.col("score") < MINIMUM), at(6, zero, "warning", F.format_string("overall filling score %.3f below threshold %.3f", F.col("score"), F.lit(MINIMUM)))),
+        F.when((F.col("errors") == 0) & (F.col("score") < MINIMUM), at(6, zero, "warning", F.format_string("overall filling score %.3f below threshold %.3f", F.col("score") + 1e-9, F.lit(MINIMUM)))),
     ]
     out = out.unionByName(t.select(TABLE, F.explode(F.array_compact(F.array(*whole))).alias("m")))
     order = Window.partitionBy(TABLE, "m.severity").orderBy("m.phase", "m.ordinal")
@@ -276,7 +276,7 @@ def low_text(limit: int, below: float, places: int) -> Column:
     named = lambda d: "topic_consistency" if d == "topic" and places == 3 else d
     dims = F.array(*[F.struct(F.col(f"{d}_score").alias("s"), F.lit(i if places == 3 else 0).alias("i"), F.lit(named(d)).alias("d")) for i, d in enumerate(DIMENSIONS)])
     low = F.slice(F.array_sort(F.filter(dims, lambda x: x["s"] < below)), 1, limit)
-    shown = (lambda x: F.format_string("%.3f", x["s"])) if places == 3 else (lambda x: x["s"].cast("decimal(6,4)").cast("string"))
+    shown = (lambda x: F.format_string("%.3f", x["s"] + 1e-9)) if places == 3 else (lambda x: x["s"].cast("decimal(6,4)").cast("string"))
     return F.array_join(F.transform(low, lambda x: F.concat(x["d"], F.lit(":"), shown(x))), ",")
 
 
@@ -285,7 +285,7 @@ def error_texts(scores: DataFrame, told: DataFrame, most: int = 5) -> DataFrame:
     listed = told.where(F.col("seq") < most).groupBy(TABLE, "severity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("t"))
     both = listed.groupBy(TABLE).agg(F.max(F.when(F.col("severity") == "error", F.col("t"))).alias("e"), F.max(F.when(F.col("severity") == "warning", F.col("t"))).alias("w"))
     t = scores.join(both, TABLE, "left").withColumn("__low", low_text(3, 0.6, 3))
-    head = F.format_string("invalid table filling (score=%.3f, title=%.3f, header=%.3f, body=%.3f, topic_consistency=%.3f", "score", "title_score", "header_score", "body_score", "topic_score")
+    head = F.format_string("invalid table filling (score=%.3f, title=%.3f, header=%.3f, body=%.3f, topic_consistency=%.3f", *[F.col(c) + 1e-9 for c in ("score", "title_score", "header_score", "body_score", "topic_score")])
     low = F.when(F.col("__low") != "", F.concat(F.lit(", low_dimensions="), F.col("__low"))).otherwise("")
     return t.select(TABLE, F.concat(head, low, F.lit("): "), F.coalesce("e", "w", F.lit("no detailed filling issue reported"))).alias("error"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gridmill.functions import text as T
-from gridmill.sources.fixtures import CONFIGS, DOMAINS, HEADERS, ITEM_ORDER, STRUCTURES
+from gridmill.sources.fixtures import CONFIGS, DOMAINS, HEADERS, ITEM_ORDER, REASONS, SOURCES, STRUCTURES
 
 TOPIC = "CASE WHEN k % 3 = 0 THEN '部门预算支出' WHEN k % 3 = 1 THEN '项目进度跟踪' ELSE '区域网络覆盖' END"
 _BODY = [
@@ -102,7 +102,7 @@ pol AS (SELECT table_id, CASE WHEN sound THEN 1.0 ELSE 0.0 END::DOUBLE AS struct
 policy AS (SELECT table_id, structure, topic, semantic, round(low::DOUBLE + 1e-9, 4) AS overall, round((0.35 * structure + 0.25 * topic + 0.40 * semantic)::DOUBLE + 1e-9, 4) AS ranking, passed FROM pol)"""
 _pick = lambda names, by: "CASE " + f"{by} % {len(names)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
 META = f"""meta AS (SELECT o_orderkey AS table_id, CASE WHEN o_orderkey % 61 = 0 THEN '' ELSE 'img/' || o_orderkey || '.jpg' END AS filename, 'img/' || o_orderkey || '.jpg' AS image,
-  {_pick(CONFIGS, 'o_orderkey')} AS config_id, {_pick((*STRUCTURES, 'simple_single_header', 'title_header'), 'o_orderkey')} AS header_type, starts_with({_pick(CONFIGS, 'o_orderkey')}, 'simple') AS simple,
+  {_pick(CONFIGS, 'o_orderkey')} AS config_id, {_pick((*STRUCTURES, 'simple_single_header', 'title_header'), 'o_orderkey')} AS header_type, starts_with({_pick(CONFIGS, 'o_orderkey')}, 'simple') AS simple, contains({_pick(CONFIGS, 'o_orderkey')}, '_colored') AS colored, ends_with({_pick(CONFIGS, 'o_orderkey')}, '_lined') AS lined,
   o_orderkey % 4 = 0 AS has_rowspan, o_orderkey % 5 = 0 AS has_colspan, o_orderstatus AS status, o_totalprice AS price, line FROM orders, range(2) t(line) WHERE line = 0 OR o_orderkey % 59 = 0)"""
 PRED = """pred AS (SELECT * REPLACE (CASE WHEN table_id % 3 = 0 AND colspan > 1 THEN colspan - 1 ELSE colspan END AS colspan, CASE WHEN table_id % 7 = 0 THEN 1 ELSE rowspan END AS rowspan,
   CASE WHEN table_id % 4 = 0 AND role = 'body' AND ordinal = 9 THEN text || 'x' ELSE text END AS text) FROM valid WHERE NOT (table_id % 5 = 0 AND ordinal = 8))"""
@@ -116,7 +116,7 @@ acc AS (SELECT table_id, correct, round(correct::DOUBLE / greatest(n, m), 4) AS
 res AS (SELECT * FROM ss JOIN acc USING (table_id))"""
 MOVE = "CASE event_id % 4 WHEN 0 THEN 'copy' WHEN 1 THEN 'delete' WHEN 2 THEN 'swap' ELSE 'alter' END"
 TRACES = f"""steps AS (SELECT user_id AS request_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'schema_attempt' WHEN 'view' THEN 'ordinary' WHEN 'click' THEN 'transformation' WHEN 'error' THEN 'reject' ELSE 'select' END AS action,
-  CASE WHEN event_type = 'click' THEN {MOVE} END AS transformation, value FROM events)"""
+  CASE WHEN event_type = 'click' THEN {MOVE} END AS transformation, {_pick(SOURCES, 'event_id')} AS source, CASE WHEN event_type = 'error' THEN {_pick(REASONS, 'event_id')} END AS rejection_reason, value FROM events)"""
 RATED = "rated AS (SELECT doc_id, quality::DOUBLE AS human, round(least(1.0, n_chars / 5000.0)::DOUBLE, 2) AS checker FROM labels JOIN documents USING (doc_id))"
 MARK = """(CASE WHEN rowspan > 1 THEN ' rowspan="' || rowspan || '"' ELSE '' END || CASE WHEN colspan > 1 THEN ' colspan="' || colspan || '"' ELSE '' END)"""
 ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -169,11 +169,6 @@ ORACLE: dict[str, str] = {
     "low_dimensions": _sql(*G, SCORES, "low AS (SELECT table_id, unnest(['title', 'header', 'body', 'topic']) AS d, unnest([title_score, header_score, body_score, topic_score]) AS s FROM scores)", "SELECT t.table_id, coalesce(string_agg(d || ':' || s::DECIMAL(6,4)::VARCHAR, ',' ORDER BY s, d) FILTER (q <= 3), '') AS low FROM (SELECT DISTINCT table_id FROM scores) t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY s, d) AS q FROM low WHERE s < 0.6) USING (table_id) GROUP BY 1"),
     "structure_scores": _sql(*GI, EVAL, "SELECT * FROM ss"),
     "text_accuracy": _sql(*GI, EVAL, "SELECT * FROM acc"),
-    "eval_overall": _sql(*GI, EVAL, "SELECT count(*) AS samples, count(*) FILTER (structure_score = 1) AS exact, round(avg(structure_score) + 1e-9, 4) AS avg_structure, round(avg(cell_text_accuracy) + 1e-9, 4) AS avg_text, round(avg(pred_cells), 2) AS avg_cells FROM res"),
-    "eval_groups": _sql(*GI, EVAL, META, "SELECT config_id, header_type, count(*) AS samples, arg_min(simple, table_id) AS simple, arg_min(has_rowspan, table_id) AS has_rowspan, round(avg(structure_score) + 1e-9, 4) AS avg_structure, round(avg(cell_text_accuracy) + 1e-9, 4) AS avg_text FROM res JOIN (SELECT * FROM meta WHERE line = 0) USING (table_id) GROUP BY ALL"),
-    "fidelity_summary": _sql(*GI, EVAL, "frame AS (SELECT m AS method, c AS \"case\" FROM (SELECT unnest(['builder', 'direct']) AS m), (SELECT unnest(['simple_with', 'simple_without', 'complex_with', 'complex_without']) AS c))",
-        "told AS (SELECT CASE WHEN table_id % 2 = 0 THEN 'builder' ELSE 'direct' END AS method, CASE WHEN table_id % 3 = 0 THEN 'simple_with' ELSE 'complex_with' END AS \"case\", * FROM res)",
-        "SELECT method, \"case\", count(structure_score) AS samples, count(*) FILTER (structure_score = 1) AS exact, coalesce(round(avg(structure_score) + 1e-9, 4), 0) AS avg_structure FROM frame LEFT JOIN told USING (method, \"case\") GROUP BY ALL"),
     "perturbed": _sql(*GI, META, "d AS (SELECT v.*, header_type AS h, simple AS wc FROM valid v JOIN (SELECT * FROM meta WHERE line = 0) m USING (table_id))",
         "SELECT table_id, ordinal, CASE WHEN h = 'simple_single_header' OR colspan <= 1 THEN colspan WHEN wc THEN greatest(1, colspan - 1) WHEN h IN ('grouped_columns', 'summary_row_colspan') THEN 1 ELSE colspan END AS colspan, CASE WHEN h = 'simple_single_header' OR rowspan <= 1 THEN rowspan WHEN wc OR h IN ('body_rowspan', 'multi_level_column_header') THEN 1 ELSE rowspan END AS rowspan FROM d WHERE NOT (NOT wc AND h = 'body_rowspan' AND row > 2 AND col = 0)"),
     "batch_report": _sql(META, "SELECT 'config' AS kind, config_id AS name, count(*) AS n, count(*) FILTER (NOT simple) AS complex_total, count(*) FILTER (NOT simple AND has_rowspan) AS complex_rowspan, count(*) FILTER (NOT simple AND has_colspan) AS complex_colspan FROM meta GROUP BY 2 UNION ALL SELECT 'header_type', header_type, count(*), count(*) FILTER (NOT simple), count(*) FILTER (NOT simple AND has_rowspan), count(*) FILTER (NOT simple AND has_colspan) FROM meta GROUP BY 2 UNION ALL SELECT 'status', status, count(*), count(*) FILTER (NOT simple), count(*) FILTER (NOT simple AND has_rowspan), count(*) FILTER (NOT simple AND has_colspan) FROM meta GROUP BY 2 UNION ALL SELECT 'all', 'all', count(*), count(*) FILTER (NOT simple), count(*) FILTER (NOT simple AND has_rowspan), count(*) FILTER (NOT simple AND has_colspan) FROM meta"),
@@ -185,11 +180,14 @@ ORACLE: dict[str, str] = {
     "split_manifest": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT 'test' AS split, floor(n * 0.1)::BIGINT AS n FROM n UNION ALL SELECT 'val', floor(n * 0.2)::BIGINT FROM n UNION ALL SELECT 'train', (n - floor(n * 0.1) - floor(n * 0.2))::BIGINT FROM n",
     "box_issues": _sql(*G, "b AS (SELECT table_id, ordinal, (colspan * 80)::DOUBLE * rowspan * 24 AS area, (col + colspan) * 80 > 480 OR (row + rowspan) * 24 > rows * 24 AS outside FROM cells)", "SELECT table_id, ordinal, area, CASE WHEN area <= 0 THEN 'no_area' WHEN outside THEN 'out_of_image' END AS issue FROM b"),
     "pool_duplicates": "SELECT doc_id, source, row_number() OVER (PARTITION BY source, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) > 1 AS duplicate FROM documents",
-    "token_overlap": "WITH p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark) SELECT item_id, round(" + _jac("text", "other") + ", 6) AS overlap FROM p WHERE other IS NOT NULL",
+    "token_overlap": "WITH p AS (SELECT a.item_id, a.text, b.text AS other FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1) SELECT item_id, round(" + _jac("text", "other") + ", 6) AS overlap FROM p WHERE other IS NOT NULL",
     "message_classes": f"WITH m AS (SELECT event_id, {MESSAGE} AS message FROM events), l AS (SELECT *, lower(message) AS low, string_split(regexp_extract(message, '^[^(]*\\(([^)]*)\\)', 1), ',') AS parts FROM m) SELECT event_id, CASE WHEN contains(low, 'invalid table schema') THEN 'schema_invalid' WHEN contains(low, 'webdriver') OR contains(low, 'render') THEN 'render_failed' WHEN contains(low, 'budget exhausted') THEN 'budget_exhausted' ELSE 'generation_failed' END AS error_class, CASE WHEN contains(low, 'empty header') THEN 'header_incomplete' WHEN contains(low, 'empty body') THEN 'empty_cell' WHEN contains(low, 'non-numeric') THEN 'invalid_cell_type' WHEN contains(low, 'does not match header') THEN 'header_body_mismatch' WHEN contains(low, 'topic') THEN 'topic_mismatch' WHEN contains(low, 'duplication') THEN 'duplicate_content' ELSE 'semantic_conflict' END AS code, CASE WHEN len(parts) = 2 AND try_cast(trim(parts[1]) AS INTEGER) IS NOT NULL AND try_cast(trim(parts[2]) AS INTEGER) IS NOT NULL THEN trim(parts[1])::INTEGER END AS loc_row, CASE WHEN len(parts) = 2 AND try_cast(trim(parts[1]) AS INTEGER) IS NOT NULL AND try_cast(trim(parts[2]) AS INTEGER) IS NOT NULL THEN trim(parts[2])::INTEGER END AS loc_col FROM l",
-    "trace_summary": _sql(TRACES, "one AS (SELECT request_id, bool_or(action = 'select') AS ok, count(*) FILTER (action = 'ordinary') AS o, count(*) FILTER (action = 'transformation') AS t, count(*) FILTER (action = 'schema_attempt') AS s FROM steps GROUP BY 1)", "SELECT count(*) AS requests, round(avg(ok::INTEGER), 4) AS success_rate, sum(o)::BIGINT AS ordinary_candidates, sum(t)::BIGINT AS transformed_candidates, round(avg(o + t), 4) AS average_candidates, round(avg(s), 4) AS average_schema_attempts FROM one"),
-    "trace_counters": _sql(TRACES, "SELECT 'action' AS kind, action AS name, count(*) AS n FROM steps GROUP BY 2 UNION ALL SELECT 'transformation', transformation, count(*) FROM steps WHERE transformation IS NOT NULL GROUP BY 2"),
-    "over_budget": _sql(TRACES, "u AS (SELECT *, sum(CASE WHEN action = 'select' THEN 0 ELSE 1 END) OVER (PARTITION BY request_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS used FROM steps)", "SELECT request_id, min(used)::BIGINT AS used, arg_min(seq, (ts, seq)) AS seq FROM u WHERE used > 5 GROUP BY 1"),
+    "trace_summary": _sql(TRACES, "one AS (SELECT request_id, bool_or(action = 'select') AS ok, count(*) FILTER (action = 'ordinary') AS o, count(*) FILTER (action = 'transformation') AS t, count(*) FILTER (action = 'schema_attempt') AS s, count(*) FILTER (action <> 'select') AS c, sum(value) AS e FROM steps GROUP BY 1)",
+        "SELECT count(*) AS requests, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, round(avg(ok::INTEGER) + 1e-9, 4) AS success_rate, sum(o + t)::BIGINT AS candidates, sum(o)::BIGINT AS ordinary_candidates, sum(t)::BIGINT AS transformed_candidates, round(avg(o + t) + 1e-9, 4) AS average_candidates, round(avg(c) + 1e-9, 4) AS average_model_calls, round(avg(e) + 1e-9, 4) AS average_elapsed_seconds, round(avg(o) + 1e-9, 4) AS average_filling_attempts, round(avg(s) + 1e-9, 4) AS average_schema_attempts FROM one"),
+    "trace_counters": _sql(TRACES, "SELECT 'action' AS kind, action AS name, count(*) AS n FROM steps GROUP BY 2 UNION ALL SELECT 'transformation', transformation, count(*) FROM steps WHERE transformation IS NOT NULL GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM steps WHERE source <> '' GROUP BY 2 UNION ALL SELECT 'rejection_reason', rejection_reason, count(*) FROM steps WHERE rejection_reason IS NOT NULL GROUP BY 2"),
+    "over_budget": _sql(TRACES, "u AS (SELECT request_id, ts, seq, sum((action <> 'select')::INTEGER) OVER w AS mc, sum((action = 'schema_attempt')::INTEGER) OVER w AS sa, sum((action IN ('ordinary', 'transformation'))::INTEGER) OVER w AS ca, sum(value) OVER w AS el FROM steps WINDOW w AS (PARTITION BY request_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))",
+        "o AS (SELECT *, CASE WHEN mc > 5 THEN 'model_calls' WHEN sa > 1 THEN 'schema_attempts' WHEN ca > 3 THEN 'candidates' WHEN el > 150 THEN 'elapsed_seconds' END AS resource, CASE WHEN mc > 5 THEN mc WHEN sa > 1 THEN sa WHEN ca > 3 THEN ca ELSE el END::DOUBLE AS used FROM u)",
+        "SELECT request_id, arg_min(seq, (ts, seq)) AS seq, arg_min(resource, (ts, seq)) AS resource, round(arg_min(used, (ts, seq)), 4) AS used FROM o WHERE resource IS NOT NULL GROUP BY 1"),
     "correlations": _sql(RATED, "rk AS (SELECT *, rank() OVER (ORDER BY human) + (count(*) OVER (PARTITION BY human) - 1) / 2.0 AS rx, rank() OVER (ORDER BY checker) + (count(*) OVER (PARTITION BY checker) - 1) / 2.0 AS ry FROM rated)",
         "kp AS (SELECT count(*) FILTER ((a.human - b.human) * (a.checker - b.checker) > 0) AS c, count(*) FILTER ((a.human - b.human) * (a.checker - b.checker) < 0) AS d, count(*) FILTER (a.human = b.human AND a.checker <> b.checker) AS tx, count(*) FILTER (a.human <> b.human AND a.checker = b.checker) AS ty FROM rated a JOIN rated b ON a.doc_id < b.doc_id)",
         "SELECT round(corr(human, checker), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, (SELECT round((c - d) / (sqrt(c + d + tx) * sqrt(c + d + ty)), 6) FROM kp) AS kendall FROM rk"),

@@ -57,24 +57,10 @@ def policies(cells: DataFrame) -> DataFrame:
     return S.policy(S.table_scores(cells), G.validity(cells))
 
 
-def results(cells: DataFrame) -> DataFrame:
-    predicted = X.predictions(cells)
-    return E.structure_scores(cells, predicted).join(E.text_accuracy(cells, predicted), "table_id")
-
-
 def one_meta(spark: SparkSession, d: str) -> DataFrame:
     return X.meta(spark, d).where("line = 0")
 
 
-def eval_groups(spark: SparkSession, d: str) -> DataFrame:
-    return E.group_summary(results(G.valid_cells(X.grid_cells(spark, d))).join(one_meta(spark, d), "table_id"))
-
-
-def fidelity(cells: DataFrame) -> DataFrame:
-    k = F.col("table_id")
-    return E.fidelity_summary(results(cells).withColumn("method", F.when(k % 2 == 0, "builder").otherwise("direct")).withColumn("case", F.when(k % 3 == 0, "simple_with").otherwise("complex_with")))
-
-
 def perturbed(spark: SparkSession, d: str) -> DataFrame:
     named = one_meta(spark, d).select("table_id", "header_type", F.col("simple").alias("with_content"))
     return E.perturb(G.valid_cells(X.grid_cells(spark, d)).join(named, "table_id")).select("table_id", "ordinal", "colspan", "rowspan")
@@ -117,10 +103,9 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    own = X.load(spark, d, "benchmark").withColumn("other", F.lead("text").over(Window.orderBy("item_id"))).where("other IS NOT NULL")
-    return own.select("item_id", F.round(T.jaccard(T.tokens(F.col("text")), T.tokens(F.col("other"))), 6).alias("overlap"))
+    items = X.load(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("other"))
+    return items.join(after, "item_id").select("item_id", F.round(T.jaccard(F.col("t"), F.col("other")), 6).alias("overlap"))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
@@ -234,9 +219,6 @@ QUERIES: dict[str, Query] = {
     "low_dimensions": on_planned(lambda c: S.low_dimensions(S.table_scores(c))),
     "structure_scores": on_valid(lambda c: E.structure_scores(c, X.predictions(c))),
     "text_accuracy": on_valid(lambda c: E.text_accuracy(c, X.predictions(c))),
-    "eval_overall": on_valid(lambda c: E.overall_summary(results(c))),
-    "eval_groups": eval_groups,
-    "fidelity_summary": on_valid(fidelity),
     "perturbed": perturbed,
     "batch_report": lambda s, d: E.batch_report(X.meta(s, d)),
     "duplicate_files": lambda s, d: E.duplicate_files(X.meta(s, d)),
@@ -251,7 +233,7 @@ QUERIES: dict[str, Query] = {
     "message_classes": messages,
     "trace_summary": lambda s, d: A.trace_summary(steps(s, d)),
     "trace_counters": lambda s, d: A.counters(steps(s, d)),
-    "over_budget": lambda s, d: A.over_budget(steps(s, d), 5),
+    "over_budget": lambda s, d: A.over_budget(steps(s, d), {"model_calls": 5, "schema_attempts": 1, "filling_attempts": -1, "candidates": 3, "elapsed_seconds": 150}),
     "correlations": lambda s, d: A.correlations(X.ratings(s, d), "human", "checker"),
     "average_ranks": lambda s, d: A.average_ranks(X.ratings(s, d), "checker", "rank").select("doc_id", "rank"),
     "bounded_history": lambda s, d: A.last_entries(X.load(s, d, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn"),
@@ -276,8 +258,13 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from . import more
+
+    return QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (oracle.ORACLE | oracle_made.ORACLE).items() if k in QUERIES}
+    from . import oracle_more
+
+    known = queries()
+    return {k: v for k, v in (oracle.ORACLE | oracle_made.ORACLE | oracle_more.ORACLE).items() if k in known}

@@ -10,6 +10,8 @@ ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 HEADERS = ("项目", "数量", "收入", "占比", "状态", "日期")
 DOMAINS = ("finance", "general", "telecommunications")
 CONFIGS = ("simple_colored_lined", "simple_colored_unlined", "simple_plain_lined", "simple_plain_unlined", "complex_colored_lined", "complex_colored_unlined", "complex_plain_lined", "complex_plain_unlined")
+SOURCES = ("rule", "api", "local_model", "")
+REASONS = ("quality_gate_failed", "duplicate_candidate", "structure_validation_failed")
 STRUCTURES = ("grouped_columns", "left_headers", "body_rowspan", "mixed_headers", "two_axis_header", "summary_row_colspan", "multi_level_column_header")
 
 
@@ -84,6 +86,8 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         config.alias("config_id"),
         pick(structures, k).alias("header_type"),
         config.startswith("simple").alias("simple"),
+        config.contains("_colored").alias("colored"),
+        config.endswith("_lined").alias("lined"),
         (k % 4 == 0).alias("has_rowspan"),
         (k % 5 == 0).alias("has_colspan"),
         F.col("o_orderstatus").alias("status"),
@@ -92,6 +96,11 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("_copy", F.explode(F.when(F.col("table_id") % 59 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumnRenamed("_copy", "line")
 
 
+def untitled(cells: DataFrame) -> DataFrame:
+    """Tables without their title row."""
+    return cells.where("role <> 'title'").withColumn("row", F.col("row") - 1).withColumn("rows", F.col("rows") - 1)
+
+
 def predictions(cells: DataFrame) -> DataFrame:
     """A damaged copy of each table: spans shrunk, a cell dropped, a text changed, by table_id."""
     k, body = F.col("table_id"), F.col("role") == "body"
@@ -113,6 +122,8 @@ def traces(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.when(kind == "signup", "schema_attempt").when(kind == "view", "ordinary").when(kind == "click", "transformation").when(kind == "error", "reject").otherwise("select").alias("action"),
         F.when(kind == "click", move).alias("transformation"),
+        F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("event_id") % len(SOURCES) + 1).cast("int")).alias("source"),
+        F.when(kind == "error", F.element_at(F.array(*map(F.lit, REASONS)), (F.col("event_id") % len(REASONS) + 1).cast("int"))).alias("rejection_reason"),
         F.col("value"),
     )
 
