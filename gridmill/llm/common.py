@@ -7,9 +7,8 @@ Python is ``bytes.lower()``.
 
 from __future__ import annotations
 
-import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -30,20 +29,21 @@ MIX_A, MIX_B, GOLDEN = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C1
 ARROW_BYTES = "8m"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the batches between Spark and Python in a session; the registered queries and stages ask for it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; one below /tmp only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the shared checkpoint folder, or below the warehouse, which is shared too, where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held:
-            spark.sparkContext.setCheckpointDir("/tmp/gridmill-checkpoints")
-            held = spark.sparkContext.getCheckpointDir()
-        base = held
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/gridmill-scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -65,20 +65,33 @@ def discard(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write to the warehouse, dealt by ``key``: later aggregates and joins on it need no exchange of these rows."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"gridmill_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(name)
-    release(spark)
-    return spark.table(name)
+def free_name(docs: DataFrame, base: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are written out; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def beside(docs: DataFrame, judge: Callable[[list[str | None]], list[pa.Array]], max_bytes: int, **kinds: str) -> DataFrame:
+    """All columns of ``docs`` and new ones, ``judge`` of its texts; new ones take the place of columns of the same name.
+
+    The caller's columns travel as numbered fields of one struct, so no name of theirs can clash.
+    """
+    new = {k.lower() for k in kinds}
+    kept = [c for c in docs.columns if c.lower() not in new]
+    rest = [c for c in kept if c != "text"]
+    row = F.struct(F.lit(0).alias("f"), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)])
+    own = docs.select(row.alias("row"), "text")
+    schema = T.StructType([*own.schema.fields, *(T.StructField(f"n{i}", T._parse_datatype_string(v)) for i, v in enumerate(kinds.values()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, max_bytes):
+            yield pa.RecordBatch.from_arrays([*b.columns, *judge(b.column("text").to_pylist())], ["row", "text", *(f"n{i}" for i in range(len(kinds)))])
+
+    place = {c: f"row.f{i}" for i, c in enumerate(rest)} | {"text": "text"}
+    out = own.mapInArrow(run, schema)
+    return out.select(*[F.col(place[c]).alias(c) for c in kept], *[F.col(f"n{i}").alias(k) for i, k in enumerate(kinds)])
 
 
 def remainder(doc_id: Column | str, n: int) -> Column:
@@ -91,11 +104,6 @@ def is_remainder(doc_id: Column | str, n: int, k: int) -> Column:
     return remainder(doc_id, n) == k
 
 
-def extended(docs: DataFrame, **kinds: str) -> T.StructType:
-    """The schema of ``docs`` with further columns."""
-    return T.StructType([*docs.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items())])
-
-
 def unit_hash(*cols: Column | str) -> Column:
     """Deterministic number in [0, 1) from the given columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -9,10 +9,11 @@ interpolated log probabilities in all languages, and for every context the row o
 character costs one binary search, and further ones only where its n-gram is new.
 
 The language of the lowest cross-entropy per character wins.  ``score`` is the softmax of the negative
-cross-entropies at a temperature fitted on the training rows; ``rejected`` says that the winner's cross-entropy
-is above the quantile REJECT of its own training rows (calibrated a language).
+cross-entropies at a temperature; ``rejected`` says that the winner's cross-entropy is above the quantile REJECT of
+its language.  Both are fitted on training rows set aside, which are not counted.
 
-Training takes a seeded sample of about ``per_language`` rows of each language (a documented bound), whole texts.
+Training takes a seeded sample of about ``per_language`` rows of each language (a documented bound), whole texts, and a
+quarter as many to set aside.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows without a language are
 judged but not learned from; without any training row all are ``und``; ties go to the smaller language name;
@@ -21,7 +22,6 @@ repeated rows score alike; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, pieces, ragged_sums, unit_hash
+from .common import beside, ragged_sums, unit_hash
 
 ORDER = 4
 PER_LANGUAGE = 400
 REJECT = 0.999
+#: Rows set aside to calibrate on, as a share of those counted; texts count there whole and cut to so many characters.
+ASIDE, CUT = 0.25, 120
 UND = "und"
 BLANK = np.uint16(32)
 
@@ -48,11 +50,20 @@ def letters() -> np.ndarray:
     return out
 
 
+def wide_letters(codes: np.ndarray) -> np.ndarray:
+    """Whether code points above 16 bits are letters."""
+    each, at = np.unique(codes, return_inverse=True)
+    return np.fromiter((chr(c).isalpha() for c in each.tolist()), bool, len(each))[at]
+
+
 def symbols(text: str) -> np.ndarray:
-    """Letters and single blanks, one blank before and after; code points above 16 bits are folded into a private range."""
+    """Letters and single blanks, one blank before and after; letters above 16 bits are folded into a private range."""
     wide = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(wide < 1 << 16, wide, 0xE000 + wide % 0x1000).astype(np.uint16)
-    kept = np.where(wide < 1 << 16, letters()[codes], codes)
+    kept = letters()[np.where(wide < 1 << 16, codes, np.uint16(0))]
+    high = np.flatnonzero(wide >= 1 << 16)
+    if len(high):
+        kept[high] = np.where(wide_letters(wide[high]), codes[high], BLANK)
     kept = np.concatenate(([BLANK], kept, [BLANK]))
     return kept[np.concatenate(([True], (kept[1:] != BLANK) | (kept[:-1] != BLANK)))]
 
@@ -157,7 +168,8 @@ def kneser_ney(codes: list[np.ndarray], alphabet: int) -> tuple[dict, dict]:
     return grams, backs
 
 
-def train_models(by_language: dict[str, list[str]]) -> LanguageModels:
+def train_models(by_language: dict[str, list[str]], aside: dict[str, list[str]] | None = None) -> LanguageModels:
+    """Models of the texts of each language; ``aside``: further texts of them that are not counted, to calibrate on."""
     names = sorted(k for k, v in by_language.items() if any((symbols(t) != BLANK).any() for t in v))
     codes = {k: [symbols(t) for t in by_language[k]] for k in names}
     alphabet = 1 + len(np.unique(np.concatenate([np.unique(c) for k in names for c in codes[k]]))) if names else 1
@@ -182,23 +194,24 @@ def train_models(by_language: dict[str, list[str]]) -> LanguageModels:
             rows[own, j] = np.log(g[n][1])
         grams[n] = key, rows.astype(np.float32)
     m = LanguageModels(names, grams, backs, float(np.log(unseen)))
-    calibrate(m, by_language)
+    calibrate(m, {k: (aside or {}).get(k) or by_language[k] for k in names})
     return m
 
 
-def calibrate(m: LanguageModels, by_language: dict[str, list[str]]) -> None:
-    """Temperature of the least log loss, and each language's limit of cross-entropy, on short and whole training texts."""
+def calibrate(m: LanguageModels, texts: dict[str, list[str]]) -> None:
+    """Temperature of the least log loss, and each language's limit of cross-entropy, on texts and on their first CUT characters."""
     if not m.languages:
         return
     limits, h_all, truth = [], [], []
     for j, name in enumerate(m.languages):
-        sample = [p for t in by_language[name][:120] for p in (t, t[:120])]
-        h, alive = m.entropies(sample)
+        h, alive = m.entropies([p for t in texts[name] for p in (t, t[:CUT])])
         h = h[alive]
-        limits.append(float(np.quantile(h[:, j], REJECT)) * 1.25)
+        limits.append(float(np.quantile(h[:, j], REJECT)) if len(h) else np.inf)
         h_all.append(h)
         truth += [j] * len(h)
-    h, truth = np.concatenate(h_all), np.array(truth)
+    h, truth = np.concatenate(h_all), np.array(truth, np.int64)
+    if not len(h):
+        return
     loss = lambda t: -(-(h * t) - np.log(np.exp(-(h - h.min(1, keepdims=True)) * t).sum(1, keepdims=True)) + h.min(1, keepdims=True) * t)[np.arange(len(h)), truth].mean()
     m.temperature = min((2.0**k for k in range(0, 7)), key=loss)
     m.limits = np.array(limits)
@@ -210,20 +223,19 @@ def train_language_id(docs: DataFrame, learn, per_language: int = PER_LANGUAGE)
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not sizes:
         return train_models({})
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
-    rows = own.where(unit_hash(F.lit("lang"), "doc_id") < share).select("lang", "text", "doc_id").toPandas().sort_values(["lang", "doc_id", "text"], kind="stable")
-    return train_models({k: list(g["text"]) for k, g in rows.groupby("lang")})
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language * (1 + ASIDE) / n)]), F.col("lang"))
+    drawn = own.withColumn("place", unit_hash(F.lit("lang"), "doc_id") / share).where("place < 1")
+    rows = drawn.select("lang", "text", "doc_id", (F.col("place") < ASIDE / (1 + ASIDE)).alias("aside")).toPandas().sort_values(["lang", "doc_id", "text"], kind="stable")
+    parts = [{k: list(g["text"]) for k, g in rows[rows["aside"] == flag].groupby("lang")} for flag in (False, True)]
+    return train_models(*parts)
 
 
 def identify(docs: DataFrame, model: LanguageModels) -> DataFrame:
-    """All columns of ``docs`` plus lang_pred, score, rejected."""
+    """All columns of ``docs`` plus lang_pred, score, rejected, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "lang_pred", "score", "rejected"]
-    schema = extended(docs, lang_pred="string", score="double", rejected="boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1_000_000):
-            lang, score, rejected = shared.value.judge(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names)
+    def judge(texts: list[str | None]) -> list[pa.Array]:
+        lang, score, rejected = shared.value.judge(texts)
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
-    return docs.mapInArrow(run, schema)
+    return beside(docs, judge, 1_000_000, lang_pred="string", score="double", rejected="boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, context_mixing, fingerprints, langid, mixing, mixing_sql, neardup, quality, toxicity, urls
-from .common import is_remainder, table
+from .common import is_remainder, small_batches, table
 
 TOXIC_AT, QUALITY_AT = 0.7, 0.3
 
@@ -67,19 +67,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op1_neardup, op2_toxicity, op3_url_filter, op4_bpe, op5_ann, op6_language, op7_quality, op8_lm_score, op9_mix, op10_fingerprints)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_neardup": op1_neardup,
-        "op2_toxicity": op2_toxicity,
-        "op3_url_filter": op3_url_filter,
-        "op4_bpe": op4_bpe,
-        "op5_ann": op5_ann,
-        "op6_language": op6_language,
-        "op7_quality": op7_quality,
-        "op8_lm_score": op8_lm_score,
-        "op9_mix": op9_mix,
-        "op10_fingerprints": op10_fingerprints,
-    }
+    return {f.__name__: lambda spark, sf_dir, f=f: f(small_batches(spark), sf_dir) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, pieces, ragged_sums, raw, sampled_at_most, sigmoid, word_hashes
+from .common import beside, pieces, ragged_sums, raw, sampled_at_most, sigmoid, word_hashes
 
 BITS, FACTORS = 18, 6
 #: Labelled rows that training takes at most (about: rows are drawn one by one).
@@ -133,14 +133,9 @@ def flat_scores(m: FactorizationMachine, texts: list[str | None]) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model, scores, name: str = "score") -> DataFrame:
-    """``docs`` plus a column of scores that ``scores(model, texts)`` gives for its texts; the model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, name]
-    schema = extended(docs, **{name: "double"})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in pieces(batches, 500_000):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(m, b.column("text").to_pylist()), pa.float64())], names)
+    """``docs`` plus a column of scores that ``scores(model, texts)`` gives for its texts; the model is broadcast.
 
-    return docs.mapInArrow(run, schema)
+    A column of that name in ``docs`` is replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return beside(docs, lambda texts: [pa.array(scores(shared.value, texts), pa.float64())], 500_000, **{name: "double"})

@@ -23,8 +23,14 @@ from .common import LOWER, UPPER
 
 #: (verdict, rule)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-STRICT = ("porn", "xxx", "casino", "gambling", "spam", "malware", "phishing", "viagra", "escort", "nude")
-SOFT = ("adult", "ads", "bets", "bet", "cheap", "click", "farm", "free", "loan", "pills", "poker", "sex", "track", "win", "x")
+STRICT = (
+    "botnet", "camgirl", "camgirls", "casino", "casinos", "cialis", "escort", "escorts", "gambling", "hentai", "keygen", "malware",
+    "nude", "nudes", "phishing", "porn", "porno", "ransomware", "sexcam", "spam", "viagra", "warez", "xxx",
+)
+SOFT = (
+    "adult", "ads", "bet", "bets", "betting", "bingo", "cheap", "click", "clicks", "coupon", "coupons", "dating", "discount", "farm", "forex",
+    "free", "jackpot", "loan", "loans", "lottery", "payday", "pills", "poker", "prize", "prizes", "roulette", "sex", "slot", "slots", "track", "win", "winner",
+)
 SOFT_LIMIT = 2
 
 
