@@ -117,7 +117,7 @@ def test_neardup_repeated_and_null_ids(spark):
 
 @pytest.mark.parametrize("train,score", [(toxicity.train_toxicity, toxicity.score_toxicity), (quality.train_quality, quality.score_quality)])
 def test_classifiers(spark, train, score):
-    docs = documents(spark).drop("score")
+    docs = documents(spark)
     model = train(docs, labels(spark), F.lit(True))
     got = score(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
@@ -135,7 +135,7 @@ def test_toxicity_learns_insults():
 
 
 def test_urls(spark):
-    given = ["http://A.example.ORG/es/x?y", "https://example.org/en/12", "http://x.com/fr/casino", "http://m.casino-win.example.net/en/1", "http://free-bets.example.net/1", "http://free.example.net/", "no scheme casino", None]
+    given = ["http://A.example.ORG/es/x?y", "https://example.org/en/12", "http://x.com/fr/casino", "http://m.casino-win.example.net/en/1", "http://free-bets.example.net/1", "http://free.example.net/?ref=x", "no scheme casino", None]
     pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages).collect()}
     assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[1][2:] == ("example.org/en/1", "block") and got[2][2:] == ("com/fr/", "allow")
@@ -174,7 +174,7 @@ def test_language(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
-def test_lm_base_and_order(spark):
+def test_lm_base(spark):
     docs = documents(spark)
     got = context_mixing.score_texts(docs, ~is_remainder("doc_id", 7, 2)).collect()
     assert len(got) == len(TEXTS) + 1
@@ -188,12 +188,6 @@ def test_lm_base_and_order(spark):
         assert abs(r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words)) < 1e-6 and r.score < 0
 
 
-def test_lm_contexts_seldom_share_a_slot():
-    bits = context_mixing.Bits([f"{k:x}".encode() for k in np.random.default_rng(3).integers(1 << 40, 1 << 44, 4000).tolist()], context_mixing.ByteCode(np.zeros(256)))
-    contexts = len(set(zip(bits.hashes[-1][bits.byte].tolist(), bits.salt.tolist(), strict=True)))
-    assert contexts > 150_000 and len(np.unique(bits.slots(context_mixing.INPUTS - 1))) > 0.8 * contexts
-
-
 def test_mix(spark):
     docs = documents(spark)
     got = mixing.mix_sources(docs).collect()
