@@ -11,13 +11,19 @@ PER_CYCLE = sum(not c.startswith("simple") for c in CONFIGS)
 FIRST_COMPLEX = len(CONFIGS) - PER_CYCLE
 
 
-def requests(spark: SparkSession, n: int) -> DataFrame:
-    """id, config_id, structure: the eight configurations in turn; complex ones take the seven structures in turn."""
+def requests(spark: SparkSession, n: int, structure: str | None = None) -> DataFrame:
+    """id, config_id, structure: the eight configurations in turn; complex ones take the seven structures in turn.
+
+    With a structure of its own a request keeps it, and ``error`` tells that a simple table can't take one.
+    """
     i = F.col("id")
     ordinal = F.floor(i / len(CONFIGS)) * PER_CYCLE + i % len(CONFIGS) - FIRST_COMPLEX
     pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (F.pmod(by, F.lit(len(names))) + 1).cast("int"))
     config = pick(CONFIGS, i)
-    return spark.range(n).select("id", config.alias("config_id"), F.when(~config.startswith("simple"), pick(STRUCTURES, ordinal)).alias("structure"))
+    simple = config.startswith("simple")
+    if structure is None:
+        return spark.range(n).select("id", config.alias("config_id"), F.when(~simple, pick(STRUCTURES, ordinal)).alias("structure"))
+    return spark.range(n).select("id", config.alias("config_id"), F.when(~simple, structure).alias("structure"), F.when(simple, "unsupported request: simple tables take no structure").alias("error"))
 
 
 # Fallback templates by domain (scenario, topic, headers, group headers, row headers).

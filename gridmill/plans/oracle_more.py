@@ -79,9 +79,9 @@ flow AS MATERIALIZED (SELECT d.table_id, d.row, rowspan, colspan, (sum(colspan)
 across AS (SELECT table_id, row, max(col + colspan) AS w FROM flow GROUP BY 1, 2),
 shape AS (SELECT table_id, max(row) + 1 AS r, max(w) AS c FROM across GROUP BY 1),
 holes AS (SELECT table_id, count(*) FILTER (w < c) AS errors FROM across JOIN shape USING (table_id) GROUP BY 1),
-agree AS (SELECT f.table_id, count(*) AS both FROM flow f JOIN valid v ON f.table_id = v.table_id AND f.row = v.row AND f.col = v.col AND f.rowspan = v.rowspan AND f.colspan = v.colspan GROUP BY 1),
+agree AS (SELECT f.table_id, count(*) AS n_both FROM flow f JOIN valid v ON f.table_id = v.table_id AND f.row = v.row AND f.col = v.col AND f.rowspan = v.rowspan AND f.colspan = v.colspan GROUP BY 1),
 sizes AS (SELECT table_id, count(*) AS n, any_value(rows) AS rows, any_value(cols) AS cols FROM valid GROUP BY 1), found AS (SELECT table_id, count(*) AS m FROM flow GROUP BY 1),
-method AS (SELECT 'direct' AS method, table_id, round(2.0 * coalesce(both, 0) / (n + m), 4)::DOUBLE AS score, errors, errors = 0 AND r = rows AND c = cols AS valid FROM sizes JOIN found USING (table_id) JOIN shape USING (table_id) JOIN holes USING (table_id) LEFT JOIN agree USING (table_id)
+method AS (SELECT 'direct' AS method, table_id, round(2.0 * coalesce(n_both, 0) / (n + m), 4)::DOUBLE AS score, errors, errors = 0 AND r = rows AND c = cols AS valid FROM sizes JOIN found USING (table_id) JOIN shape USING (table_id) JOIN holes USING (table_id) LEFT JOIN agree USING (table_id)
   UNION ALL SELECT 'builder', table_id, 1.0, 0, true FROM sizes)"""
 FRAME = "frame AS (SELECT m AS method, c AS \"case\" FROM (SELECT unnest(['builder', 'direct']) AS m), (SELECT unnest(['simple_with', 'simple_without', 'complex_with', 'complex_without']) AS c))"
 _order = "(SELECT o_orderkey AS k, 'img/' || o_orderkey || '.jpg' AS file FROM orders)"
@@ -168,9 +168,9 @@ NUMBER = f"CASE WHEN {_k('way')} % 100 < 50 THEN printf('%.2f', {_num}) WHEN {_k
 _piece = lambda text: f"substr('{text}', ({_k('text start')} % ({len(text)} - ({_k('text length')} % 6 + 2) + 1))::INTEGER + 1, ({_k('text length')} % 6 + 2)::INTEGER)"
 LEGACY_CELLS = f"""{LEGACY}, {MISSING},
 spot AS (SELECT table_id, rows, cols, row::INTEGER AS row, col::INTEGER AS col FROM shapes, LATERAL (SELECT unnest(range(rows)) AS row), LATERAL (SELECT unnest(range(cols)) AS col)),
-spanned AS (SELECT s.*, CASE WHEN row = 0 THEN CASE WHEN h.start IS NOT NULL THEN 1 ELSE 2 END WHEN row = 1 THEN CASE WHEN h.start IS NOT NULL THEN 1 ELSE 0 END WHEN col = 0 AND d.start IS NOT NULL THEN CASE WHEN d.start = row THEN d.length ELSE 0 END ELSE 1 END AS rowspan,
-  CASE WHEN row = 0 AND h.start IS NOT NULL THEN CASE WHEN h.start = col THEN h.length ELSE 0 END ELSE 1 END AS colspan, kind, m.table_id IS NOT NULL AS gone
-  FROM spot s LEFT JOIN heads h ON h.table_id = s.table_id AND s.row < 2 AND h.start <= col AND col < h.start + h.length LEFT JOIN sides d ON d.table_id = s.table_id AND s.row >= 2 AND s.col = 0 AND d.start <= row AND row < d.start + d.length
+spanned AS (SELECT s.*, CASE WHEN s.row = 0 THEN CASE WHEN h.start IS NOT NULL THEN 1 ELSE 2 END WHEN s.row = 1 THEN CASE WHEN h.start IS NOT NULL THEN 1 ELSE 0 END WHEN s.col = 0 AND d.start IS NOT NULL THEN CASE WHEN d.start = s.row THEN d.length ELSE 0 END ELSE 1 END AS rowspan,
+  CASE WHEN s.row = 0 AND h.start IS NOT NULL THEN CASE WHEN h.start = s.col THEN h.length ELSE 0 END ELSE 1 END AS colspan, kind, m.table_id IS NOT NULL AS gone
+  FROM spot s LEFT JOIN heads h ON h.table_id = s.table_id AND s.row < 2 AND h.start <= s.col AND s.col < h.start + h.length LEFT JOIN sides d ON d.table_id = s.table_id AND s.row >= 2 AND s.col = 0 AND d.start <= s.row AND s.row < d.start + d.length
   JOIN types t ON t.table_id = s.table_id AND t.c = s.col LEFT JOIN missing m ON m.table_id = s.table_id AND m.row = s.row AND m.col = s.col),
 kinds AS (SELECT * REPLACE (CASE WHEN col = 0 THEN CASE WHEN {_k('first')} % 2 = 0 THEN 'c' ELSE 'e' END WHEN gone AND rowspan = 1 AND colspan = 1 THEN 't' WHEN row < 2 THEN 'c' ELSE kind END AS kind) FROM spanned WHERE rowspan > 0 AND colspan > 0),
 old AS MATERIALIZED (SELECT table_id, rows, cols, row * cols + col AS ordinal, row, col, rowspan, colspan, CASE WHEN row < 2 OR col = 0 THEN 'th' ELSE 'td' END AS tag, CASE WHEN row < 2 OR col = 0 THEN 'header' ELSE 'body' END AS role,
