@@ -6,8 +6,9 @@ Nodes get geometric levels from a hash; each level links a node to its nearest n
 that links point in different directions, and back.  Links are flat arrays (CSR), one row a shard in a table
 in the shared folder.
 
-Queries are packed in blocks; each block meets each shard once, by an equi-join on the shard's number (a stated
-query set against all rows).  A search walks greedily down the levels and then widens to ``ef`` candidates on
+Queries are packed in blocks; each block meets each shard once (a stated query set against all rows): a shard's
+graph goes to a task, BLOCKS_A_TASK blocks follow it there, and further blocks of the shard are a task of their own
+with another copy.  A search walks greedily down the levels and then widens to ``ef`` candidates on
 the lowest; found nodes are scored again in double precision on the original vectors.  Shard results are
 merged by a window over at most k rows a shard.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, mixed, stored
 
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 1024
+QUERY_BLOCK, BLOCKS_A_TASK = 256, 8
 LINKS, EF, FAN = 16, 64, 16
 
 
@@ -232,15 +233,21 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 5, ef: int = EF, sh
     blocks = max(1, -(-queries.count() // query_block))
     # Block by a hash of the id: blocks of about query_block rows.
     packed = queries.groupBy(F.pmod(F.xxhash64(F.lit("q"), "query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard")
+    slices = max(1, -(-blocks // BLOCKS_A_TASK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = index.withColumn("slice", numbers(slices)).withColumn("block", F.lit(-1).cast("long"))
+    asked = packed.withColumn("shard", numbers(shards)).withColumn("slice", F.pmod("block", F.lit(slices)).cast("int"))
+    met = graphs.unionByName(asked, allowMissingColumns=True).repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, Searcher] | None = None
+        """Rows of a shard and slice stand together, its graph first."""
+        graph: Searcher | None = None
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                if held is None or held[0] != row["shard"]:
-                    held = row["shard"], Searcher(row)
-                found = [(x["query_id"], i, s) for x in row["queries"] for i, s in held[1].nearest(x["query_id"], np.asarray(x["q"], np.float64), k, ef)]
+                if row["block"] < 0:
+                    graph = Searcher(row)
+                    continue
+                found = [(x["query_id"], i, s) for x in row["queries"] for i, s in graph.nearest(x["query_id"], np.asarray(x["q"], np.float64), k, ef)]
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     hits = met.mapInPandas(run, "query_id long, vec_id long, score double")

@@ -7,6 +7,7 @@ Python is ``bytes.lower()``.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from zlib import crc32
@@ -65,6 +66,12 @@ def discard(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written out: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(docs: DataFrame, base: str) -> str:
     """A column name that ``docs`` does not have."""
     taken = {c.lower() for c in docs.columns}

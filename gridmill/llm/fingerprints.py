@@ -142,13 +142,17 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 LOWEST = -(1 << 63)
+#: Bytes of text of a range, about.
+RANGE_BYTES = 64_000_000
 PACKED = "range_no int, place long, guest int, doc_id long, body binary"
 
 
 def with_neighbours(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = None) -> DataFrame:
     """The fingerprints of each text, of its edited text, and their likenesses (see the module's text)."""
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), "text")
     steps = [k / ranges for k in range(1, ranges)] or [1.0]

@@ -128,7 +128,7 @@ def test_lm_paths_are_a_distribution():
     model = context_mixing.Model(hashes[:38], counts[:38], int(counts.sum()) + 9, int(counts[:39].sum()), np.ones(256, np.int64), 14)
     model.path = [rng.integers(0, 256, len(t)).astype(np.uint8) for t in model.path]
     pack = context_mixing.shrunk
-    row = {"ids": np.zeros((2, 40), np.int64).tobytes(), "held": np.ones(40, bool).tobytes(), "lengths": np.ones(40, np.int64).tobytes(), "sizes": np.ones(40, np.int64).tobytes(), "words": pack(b"\n".join(words)), "hashes": hashes.tobytes(), "tally": pack(np.zeros(40, np.int64).tobytes()), "tokens": pack(np.arange(40, dtype=np.uint32).tobytes()), "place": pack(np.arange(40, dtype=np.uint32).tobytes()), "counts": np.concatenate((counts[:39], [1])).astype(np.int64).tobytes()}
+    row = {"ids": np.zeros((2, 40), np.int64).tobytes(), "held": np.ones(40, bool).tobytes(), "lengths": np.ones(40, np.int64).tobytes(), "sizes": np.ones(40, np.int64).tobytes(), "words": pack(b"\n".join(words)), "hashes": hashes.tobytes(), "tally": pack(np.zeros(40, np.uint32).tobytes()), "tokens": pack(np.arange(40, dtype=np.uint32).tobytes()), "place": pack(np.arange(40, dtype=np.uint32).tobytes()), "counts": pack(np.concatenate((counts[:39], [1])).astype(np.int64).tobytes())}
     cost = model.path_costs(context_mixing.Texts(row, model), np.arange(40))
     assert abs((2.0**-cost).sum() - 1) < 1e-3
 
