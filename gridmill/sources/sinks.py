@@ -25,25 +25,26 @@ def write_split(samples: DataFrame, path: str, mode: str = "errorifexists") -> D
     return counts
 
 
-def write_report(summary: DataFrame, path: str, mode: str = "errorifexists", limit: int = 10_000) -> None:
-    """A summary (a row a group) as JSON, CSV with header and a Markdown table; longer summaries have no Markdown.
+def write_report(summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A summary (a row a group) as JSON, CSV with header and a Markdown table, each whole.
 
-    The Markdown is built in one task, which is why its rows are bounded; JSON and CSV hold every row.
+    The Markdown's lines are sorted by ranges, so its parts, in the order of their names, are one table.
     """
     summary.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/json")
     summary.write.mode(mode).option("header", True).csv(f"{path}/csv")
-    if summary.limit(limit + 1).count() <= limit:
-        markdown(summary).coalesce(1).write.mode(mode).text(f"{path}/markdown")
+    markdown(summary).write.mode(mode).text(f"{path}/markdown")
 
 
 def markdown(summary: DataFrame) -> DataFrame:
-    """One row, ``value``: the summary as a Markdown table, rows in order of its columns."""
+    """``value``: the lines of the summary as a Markdown table, the head first, then the rows in order of its columns."""
     names = summary.columns
     shown = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in names]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
-    order = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], line.alias("line"))
+    keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
+    lines = summary.select(F.lit(1).alias("part"), *keys, F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("value"))
+    none = [F.lit(None).cast(f.dataType).alias(f"k{i}") for i, f in enumerate(summary.schema.fields)]
     head = "| " + " | ".join(names) + " |\n|" + "---|" * len(names)
-    return summary.agg(F.array_sort(F.collect_list(order)).alias("r")).select(F.concat_ws("\n", F.lit(head), F.transform("r", lambda x: x["line"])).alias("value"))
+    first = summary.sparkSession.range(1).select(F.lit(0).alias("part"), *none, F.lit(head).alias("value"))
+    return first.unionByName(lines).orderBy("part", *[f"k{i}" for i in range(len(names))]).select("value")
 
 
 def append_trace(records: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Trace roll-up and memory over streams.  The reference engine of tables has no streams; these extend its batch roll-up."""
+"""Trace roll-up and memory over streams: the batch roll-ups, carried on as records come in."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridmill.operators import analysis, evaluation, generation, layouts, legacy, loop, scoring, structure
+from gridmill.operators import analysis, evaluation, generation, layouts, legacy, loop, routing, scoring, structure
 from gridmill.plans import more
 from gridmill.sources import fixtures, html
 
@@ -160,4 +160,29 @@ def test_loop_is_what_a_step_by_step_run_gives(spark):
 def test_requests_with_a_structure_of_their_own(spark):
     got = generation.requests(spark, 16, "left_headers").collect()
     assert all((r.structure == "left_headers") == (r.error is None) for r in got) and sum(r.error is not None for r in got) == 8
-    assert legacy.spans("s", F.lit(1), 3) is not None and len(more.QUERIES) > 40
+    assert legacy.spans("s", "w", F.lit(1)) is not None and len(more.QUERIES) > 40
+
+
+def test_model_calls_in_batches_and_their_failures(spark):
+    def make():
+        import time
+
+        def answer(questions):
+            if "late" in questions:
+                time.sleep(5)
+            if "bad" in questions:
+                raise KeyError("bad")
+            return [None if q == "none" else q.upper() for q in questions]
+
+        return answer
+
+    asked = spark.createDataFrame([(0, "a"), (1, "none"), (2, None), (3, "bad"), (4, "late")], "i int, q string").repartition(1).sortWithinPartitions("i")
+    got = {r.i: tuple(r.r) for r in asked.withColumn("r", routing.model_call(make, F.col("q"), 1, 1.0)).collect()}
+    assert got == {0: (True, "A", None), 1: (True, None, None), 2: (False, None, "no question"), 3: (False, None, "KeyError: 'bad'"), 4: (False, None, "timeout")}
+    ends = routing.Backends()
+    give = lambda ok, value: lambda df: F.struct(F.lit(ok).alias("ok"), F.lit(value).cast("string").alias("value"), F.lit(None).cast("string").alias("reason"))
+    ends.register("plain", ("x",), give(True, None), plain=True)
+    ends.register("strict", ("x",), give(True, None))
+    ends.register("last", ("x",), give(True, "v"))
+    r = ends.route(spark.range(1), "x", "plain", "strict", "last").first()
+    assert (r.value, r.backend, r.status, [a.status for a in r.attempts]) == ("v", "last", "fallback", ["success", "failed", "success"])
