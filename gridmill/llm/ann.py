@@ -130,7 +130,7 @@ class Searcher:
     def __init__(self, row: dict):
         a = {k: np.frombuffer(row[k], kind) for k, kind in ARRAYS.items()}
         self.ids, self.ends = a["ids"], a["node_ends"]
-        self.vectors = a["vectors"].reshape(-1, row["dim"])
+        self.vectors = a["vectors"].reshape(-1, int(row["dim"]))
         self.norms = np.linalg.norm(self.vectors, axis=1)
         self.unit = (self.vectors / self.norms[:, None]).astype(np.float32)
         self.levels = []
