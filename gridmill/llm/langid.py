@@ -227,7 +227,10 @@ def train_language_id(docs: DataFrame, learn, per_language: int = PER_LANGUAGE)
     drawn = own.withColumn("place", unit_hash(F.lit("lang"), "doc_id") / share).where("place < 1")
     rows = drawn.select("lang", "text", "doc_id", (F.col("place") < ASIDE / (1 + ASIDE)).alias("aside")).toPandas().sort_values(["lang", "doc_id", "text"], kind="stable")
     parts = [{k: list(g["text"]) for k, g in rows[rows["aside"] == flag].groupby("lang")} for flag in (False, True)]
-    return train_models(*parts)
+    counted, aside = parts
+    for k in [k for k in aside if k not in counted]:
+        counted[k] = aside.pop(k)  # a language of a few rows is counted whole
+    return train_models(counted, aside)
 
 
 def identify(docs: DataFrame, model: LanguageModels) -> DataFrame:
