@@ -109,7 +109,8 @@ def row_coverage(cells: DataFrame) -> DataFrame:
 
 def validate(cells: DataFrame) -> DataFrame:
     """table_id, code, ordinal, row, col of all issues."""
-    return checked(cells).select(TABLE, F.inline("issues"))
+    # An outer generator: of an inner one Spark would infer a filter and work the issues out once more for it.
+    return checked(cells).select(TABLE, F.inline_outer("issues")).where("code IS NOT NULL")
 
 
 def validity(cells: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def with_blocks(tables: DataFrame, axis: str) -> DataFrame:
 
 def safe_regions(cells: DataFrame, axis: str = "row") -> DataFrame:
     """table_id, start, size of blocks between neighbouring safe boundaries that hold a body cell and no title."""
-    return with_blocks(folded(cells), axis).select(TABLE, F.inline(f"__safe_{axis}"))
+    return with_blocks(folded(cells), axis).select(TABLE, F.inline_outer(f"__safe_{axis}")).where("start IS NOT NULL")
 
 
 def region_errors(cells: DataFrame, regions: DataFrame, axis: str, action: str = "copy") -> DataFrame:
@@ -354,8 +355,8 @@ def augmented(cells: DataFrame, limit: int = 4, *keep: str, by: tuple[str, ...]
 
     named = [first_of(copied("row"), copied("column")), first_of(deleted("row"), deleted("column")), first_of(swapped("row"), swapped("column"), swapped_cells()), first_of(altered())][: max(0, min(limit, 4))]
     none = F.lit(None).cast("struct<transformation:string>")
-    made = F.explode(F.array_compact(F.array(*named))) if named else F.explode(F.array(none))
-    out = t.select(*by, *keep, made.alias("__v"))
+    made = F.explode_outer(F.array_compact(F.array(*named))) if named else F.explode(F.array(none))
+    out = t.select(*by, *keep, made.alias("__v")).where("__v IS NOT NULL")
     return with_slots(out.select(*by, *keep, "__v.*")) if named else out.where(F.lit(False))
 
 
