@@ -41,7 +41,7 @@ def with_headers_by_column(tables: DataFrame) -> DataFrame:
 
 def effective_headers(cells: DataFrame) -> DataFrame:
     """table_id, col, header: the header over each column that has one."""
-    t = with_headers_by_column(folded(cells)).select(TABLE, "__first", F.posexplode("__headers").alias("i", "header"))
+    t = with_headers_by_column(folded(cells)).select(TABLE, "__first", F.posexplode_outer("__headers").alias("i", "header"))
     return t.where("header IS NOT NULL").select(TABLE, (F.col("i") + F.col("__first")).cast("int").alias("col"), "header")
 
 
