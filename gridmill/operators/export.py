@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.functions.text import annotated_role, cleaned, escaped, without
+from gridmill.functions.text import annotated_role, cleaned, escaped, let, without
 
 
 def inserted(tokens: Column, texts: Column, openers: tuple[str, ...] = ("<td>", "<th>", ">")) -> Column:
@@ -14,23 +14,28 @@ def inserted(tokens: Column, texts: Column, openers: tuple[str, ...] = ("<td>",
     ``tokens``, ``texts``: arrays of strings.  Where the numbers differ the leading openers or texts stay unmatched.
     The tokens are cut into runs that each end with an opener, so the work grows with their number only.
     """
-    opens = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*openers), i + 1)), lambda i: i.isNotNull())
-    n, m = F.size(opens), F.size(texts)
+    def told(held):
+        own, shown, opens = held["tokens"], held["texts"], held["opens"]
+        n, m = F.size(opens), F.size(shown)
+
+        def run(end, k):
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(opens, k))
+            text = F.when(k - (n - m) >= 0, F.try_element_at(shown, F.greatest(k - (n - m) + 1, F.lit(1))))
+            return F.concat(F.array_join(F.slice(own, begin + 1, end - begin), ""), F.coalesce(text, F.lit("")))
 
-    def run(end, k):
-        begin = F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(opens, k))
-        text = F.when(k - (n - m) >= 0, F.try_element_at(texts, F.greatest(k - (n - m) + 1, F.lit(1))))
-        return F.concat(F.array_join(F.slice(tokens, begin + 1, end - begin), ""), F.coalesce(text, F.lit("")))
+        last = F.coalesce(F.try_element_at(opens, F.lit(-1)), F.lit(0))
+        tail = F.slice(own, last + 1, F.size(own) - last)
+        return F.concat(F.array_join(F.transform(opens, run), ""), F.array_join(tail, ""))
 
-    last = F.coalesce(F.try_element_at(opens, F.lit(-1)), F.lit(0))
-    tail = F.slice(tokens, last + 1, F.size(tokens) - last)
-    return F.concat(F.array_join(F.transform(opens, run), ""), F.array_join(tail, ""))
+    # Tokens, texts and openers are bound once: named within ``run`` as they are, each run would work all of them out again.
+    opens = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*openers), i + 1)), lambda i: i.isNotNull())
+    return let(F.struct(tokens.alias("tokens"), texts.alias("texts"), opens.alias("opens")), told)
 
 
 def markup(tokens: Column, texts: Column) -> Column:
     """Trimmed HTML of structure tokens and cell texts, in a <table> unless it has one; empty where nothing is left."""
-    html = F.trim(inserted(tokens, F.transform(texts, cleaned)))
-    return F.when((html == "") | F.lower(html).contains("<table"), html).otherwise(F.concat(F.lit("<table>"), html, F.lit("</table>")))
+    whole = lambda html: F.when((html == "") | F.lower(html).contains("<table"), html).otherwise(F.concat(F.lit("<table>"), html, F.lit("</table>")))
+    return let(F.trim(inserted(tokens, F.transform(texts, cleaned))), whole)
 
 
 def target_text(target: str, html: Column, cells_json: Column, meta_json: Column) -> Column:
@@ -58,14 +63,15 @@ def characters(text: Column) -> Column:
 
 def token_cells(cells: DataFrame) -> DataFrame:
     """table_id, tokens (structure), texts of tables in the order of the markup."""
-    span = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name).cast("string"), F.lit('"')))
-    plain = (F.col("rowspan") <= 1) & (F.col("colspan") <= 1)
-    opened = F.when(plain, F.array(F.lit("<td>"))).otherwise(F.concat(F.array(F.lit("<td")), F.array_compact(F.array(span("rowspan"), span("colspan"))), F.array(F.lit(">"))))
-    marks = F.concat(opened, F.array(F.lit("</td>")))
-    lines = cells.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "ordinal", marks.alias("m"), "text"))).alias("c"))
-    row = F.concat(F.array(F.lit("<tr>")), F.flatten(F.col("c.m")), F.array(F.lit("</tr>")))
-    tables = lines.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", row.alias("tokens"), F.col("c.text").alias("texts")))).alias("r"))
-    return tables.select("table_id", F.flatten("r.tokens").alias("tokens"), F.flatten("r.texts").alias("texts"))
+    listed = F.array_sort(F.collect_list(F.struct("row", "col", "ordinal", "rowspan", "colspan", "text")))
+    span = lambda c, name: F.when(c[name] > 1, F.concat(F.lit(f' {name}="'), c[name].cast("string"), F.lit('"')))
+    plain = lambda c: (c["rowspan"] <= 1) & (c["colspan"] <= 1)
+    spans = lambda c: F.array_compact(F.array(span(c, "rowspan"), span(c, "colspan")))
+    marks = lambda c: F.when(plain(c), F.array(F.lit("<td>"), F.lit("</td>"))).otherwise(F.concat(F.array(F.lit("<td")), spans(c), F.array(F.lit(">"), F.lit("</td>"))))
+    follows = lambda c, i: (i > 0) & ~F.get(F.col("c"), i - 1)["row"].eqNullSafe(c["row"])
+    one = lambda c, i: F.when(follows(c, i), F.concat(F.array(F.lit("</tr>"), F.lit("<tr>")), marks(c))).otherwise(marks(c))
+    tables = cells.groupBy("table_id").agg(listed.alias("c"))
+    return tables.select("table_id", F.concat(F.array(F.lit("<tr>")), F.flatten(F.transform("c", one)), F.array(F.lit("</tr>"))).alias("tokens"), F.col("c.text").alias("texts"))
 
 
 def image_issues(cells: DataFrame, images: DataFrame) -> DataFrame:
