@@ -6,7 +6,7 @@ code.  Sums are rounded as double precision gives them, after adding 1e-9, so th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions.text import GENERIC_HEADERS, KEYWORDS, issue_code, issue_location, jaccard, score_cell, tokens
@@ -50,9 +50,16 @@ def row_headers(cells: DataFrame) -> DataFrame:
     return cells.where("role = 'header' AND col = 0").groupBy(TABLE, "row").agg(F.max_by("text", "ordinal").alias("header"))
 
 
-def spread_body(tables: DataFrame, *keep: str) -> DataFrame:
-    """A row a body cell of tables of ``with_headers_by_column``: keep, ordinal, row, col, text, header."""
-    body = F.transform(F.filter("cells", lambda c: c["role"] == "body"), lambda c: F.struct(c["ordinal"].alias("ordinal"), c["row"].alias("row"), c["col"].alias("col"), c["text"].alias("text"), F.coalesce(F.get(F.col("__headers"), c["col"] - F.col("__first")), F.lit("")).alias("header")))
+def spread_body(tables: DataFrame, *keep: str, whole: str | None = None) -> DataFrame:
+    """A row a body cell of tables of ``with_headers_by_column``: keep, ordinal, row, col, text, header.  ``whole``: a column that
+    a row more of each table, without an ordinal, has as ``whole``.
+    """
+    own = [] if whole is None else [F.lit(None).cast(tables.schema[whole].dataType).alias("whole")]
+    body = F.transform(F.filter("cells", lambda c: c["role"] == "body"), lambda c: F.struct(c["ordinal"].alias("ordinal"), c["row"].alias("row"), c["col"].alias("col"), c["text"].alias("text"), F.coalesce(F.get(F.col("__headers"), c["col"] - F.col("__first")), F.lit("")).alias("header"), *own))
+    if whole is not None:
+        cell = {f.name: f.dataType for f in tables.schema["cells"].dataType.elementType.fields}
+        none = [F.lit(None).cast(cell[n]).alias(n) for n in ("ordinal", "row", "col", "text")]
+        body = F.concat(F.array(F.struct(*none, F.lit(None).cast("string").alias("header"), F.col(whole).alias("whole"))), body)
     return tables.select(TABLE, *keep, F.inline_outer(body))
 
 
@@ -76,7 +83,7 @@ def column_scores(cells: DataFrame) -> DataFrame:
 ERRORS = ("empty", "percent", "numeric")
 
 
-def scored_tables(tables: DataFrame, *keep: str) -> DataFrame:
+def scored_tables(tables: DataFrame, *keep: str, told: bool = False) -> DataFrame:
     """Scores of folded tables with domain, topic, simple (and scenario, if there is one): see ``table_scores``."""
     scenario = F.col("scenario") if "scenario" in tables.columns else None
     t = with_headers_by_column(tables).withColumns({"__k": keyword_array(F.col("domain"), F.col("topic"), scenario), "__topic": tokens(F.coalesce("topic", F.lit("")))})
@@ -120,85 +127,111 @@ def scored_tables(tables: DataFrame, *keep: str) -> DataFrame:
     )
     raw = ["title_raw", "header_raw", "topic_raw"]
     t = t.withColumns({"__errors": errors, "__warnings": warnings})
-    body = spread_body(t.select(TABLE, *keep, *raw, "__errors", "__warnings", "cells", "__headers", "__first"), *keep, *raw, "__errors", "__warnings")
+    plain = (*keep, *raw, "__errors", "__warnings")
+    if told:
+        t = t.withColumn("__whole", F.array_compact(F.array(*whole_messages())))
+        t = t.withColumn("__whole", F.concat("__whole", bare_headers()))
+    body = spread_body(t.select(TABLE, *plain, "cells", "__headers", "__first", *(["__whole"] if told else [])), *plain, whole="__whole" if told else None)
     body = body.withColumn("__s", F.when(F.col("ordinal").isNotNull(), score_cell(F.col("header"), F.col("text"))))
     issue = F.col("__s.issue")
     by = [TABLE, *[k for k in keep if k != TABLE]]
-    told = body.groupBy(*by).agg(
+    listed = [F.first("whole", ignorenulls=True).alias("__whole"), F.collect_list(body_message(issue)).alias("__listed")] if told else []
+    told_of = body.groupBy(*by).agg(
         *[F.first(c).alias(c) for c in (*raw, "__errors", "__warnings")],
         F.count("ordinal").alias("__bodies"),
         F.coalesce(F.avg("__s.score"), F.lit(1.0)).alias("body_raw"),
         F.count_if(issue.isin(*ERRORS)).alias("__body_errors"),
         F.count_if(issue.isNotNull() & ~issue.isin(*ERRORS)).alias("__body_warnings"),
+        *listed,
     )
     r = lambda c: F.round(c + 1e-9, 4)
     score = r(0.18 * F.col("title_raw") + 0.27 * F.col("header_raw") + 0.40 * F.col("body_raw") + 0.15 * F.col("topic_raw"))
-    told = told.withColumns({"score": score, "errors": (F.col("__errors") + F.col("__body_errors")).cast("long")})
+    told_of = told_of.withColumns({"score": score, "errors": (F.col("__errors") + F.col("__body_errors")).cast("long")})
     low = (F.col("errors") == 0) & (F.col("score") < MINIMUM)
     warned = F.col("__warnings") + F.col("__body_warnings") + (F.col("__bodies") == 0).cast("int") + low.cast("int")
     dims = [r(F.col(f"{d}_raw")).alias(f"{d}_score") for d in DIMENSIONS]
-    return told.select(*by, *dims, "score", "errors", warned.cast("long").alias("warnings"), ((F.col("errors") == 0) & (F.col("score") >= MINIMUM)).alias("ok"))
+    out = [*by, *dims, "score", "errors", warned.cast("long").alias("warnings"), ((F.col("errors") == 0) & (F.col("score") >= MINIMUM)).alias("ok")]
+    if not told:
+        return told_of.select(*out)
+    weak = F.when(low, message_at(6, F.lit(0), "warning", F.format_string("overall filling score %.3f below threshold %.3f", F.col("score") + 1e-9, F.lit(MINIMUM))))
+    every = told_of.select(*out, F.array_sort(F.concat("__whole", "__listed", F.array_compact(F.array(weak)))).alias("__m"))
+    of = lambda severity: F.transform(F.filter("__m", lambda x: x["severity"] == severity), lambda x, i: F.struct(x["severity"].alias("severity"), i.alias("seq"), x["message"].alias("message")))
+    return every.withColumn("messages", F.concat(of("error"), of("warning"))).drop("__m")
 
 
-def table_scores(cells: DataFrame) -> DataFrame:
+def table_scores(cells: DataFrame, told: bool = False) -> DataFrame:
     """table_id, title_score, header_score, body_score, topic_score, score, errors, warnings, ok of every table.
 
     Cells have domain, topic, simple and, if wanted, scenario.  ``ok``: no errors and a score of 0.58 or more.  Body cells
     that are empty, or of another kind than their header asks for, are errors; those that only look odd are warnings.
+    ``told``: adds ``messages`` (severity, seq, message), errors before warnings, each in the order found.
     """
     keep = ["domain", "topic", "simple", *(["scenario"] if "scenario" in cells.columns else [])]
-    return scored_tables(folded(cells, *keep))
+    return scored_tables(folded(cells, *keep), told=told)
 
 
-def messages(cells: DataFrame) -> DataFrame:
-    """table_id, severity, seq, message: what is wrong with a table as texts, errors and warnings each in the order found."""
-    scenario = F.col("scenario") if "scenario" in cells.columns else None
-    keep = ["domain", "topic", "simple", *(["scenario"] if scenario is not None else [])]
-    s = table_scores(cells)
-    heads = cells.where("role = 'header'").withColumn("t", F.trim("text"))
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    place = text("(", F.col("row").cast("string"), ", ", F.col("col").cast("string"), ")")
-    at = lambda phase, ordinal, severity, message: F.struct(F.lit(severity).alias("severity"), F.lit(phase).alias("phase"), ordinal.cast("int").alias("ordinal"), message.alias("message"))
-    zero = F.lit(0)
-    out = heads.where("t = ''").select(TABLE, at(2, F.col("ordinal"), "error", text("empty header cell at ", place)).alias("m"))
-    body = cell_scores(cells).where("issue IS NOT NULL")
+def phrase(*parts) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def message_at(phase: int, ordinal: Column, severity: str, message: Column) -> Column:
+    return F.struct(F.lit(phase).alias("phase"), ordinal.cast("int").alias("ordinal"), F.lit(severity).alias("severity"), message.alias("message"))
+
+
+def place_of(row: Column, col: Column) -> Column:
+    return phrase("(", row.cast("string"), ", ", col.cast("string"), ")")
+
+
+def whole_messages() -> list[Column]:
+    """What is wrong with a table as a whole, from the columns that ``scored_tables`` has before it spreads the body."""
+    one = lambda phase, n, severity, *parts: message_at(phase, F.lit(n), severity, phrase(*parts))
+    simple, titled = F.col("simple"), F.col("__title") != ""
+    title_score, topic_score = (F.round(F.col(f"{d}_raw") + 1e-9, 4) for d in ("title", "topic"))
+    twice = F.col("__m") - F.col("__distinct")
+    return [
+        F.when(simple & titled, one(1, 0, "warning", "simple table unexpectedly contains a title row")),
+        F.when(~simple & (F.size("__titles") == 0), one(1, 0, "error", "complex table is missing a title cell"))
+        .when(~simple & ~titled, one(1, 0, "error", "complex table title is empty"))
+        .when(~simple & (title_score == 0), one(1, 0, "error", "complex table title does not contain or align with the planned topic"))
+        .when(~simple & (title_score == 0.75), one(1, 0, "warning", "complex table title is related to the planned topic but not exact")),
+        F.when(F.col("__n") == 0, one(2, 0, "error", "table has no header cells")),
+        F.when(twice > 0, one(3, 0, "warning", "header duplication detected in ", twice.cast("string"), " header cells")),
+        F.when(F.col("__generic") > 0, one(3, 1, "warning", "generic header text detected in ", F.col("__generic").cast("string"), " header cells")),
+        F.when((F.col("__n") > 0) & (F.col("__semantic") == 0) & (F.size("__k") > 0), one(3, 2, "warning", "headers do not contain topic or semantic scenario signals")),
+        F.when(~F.exists("cells", lambda c: F.coalesce(c["role"] == "body", F.lit(False))), one(4, 0, "warning", "table has no body cells")),
+        F.when(topic_score < 0.35, one(5, 0, "error", "table content is not aligned with the planned topic or semantic scenario")).when(topic_score < 0.6, one(5, 0, "warning", "weak topic or semantic scenario consistency")),
+    ]
+
+
+def bare_headers() -> Column:
+    """A message for each header cell without a text."""
+    bare = F.filter("cells", lambda c: (c["role"] == "header") & (F.trim(c["text"]) == ""))
+    return F.transform(bare, lambda c: message_at(2, c["ordinal"], "error", phrase("empty header cell at ", place_of(c["row"], c["col"]))))
+
+
+def body_message(issue: Column) -> Column:
+    """The message on a spread body cell, null where it has no issue."""
+    place = place_of(F.col("row"), F.col("col"))
     named = {
-        "empty": ("error", text("empty body cell at ", place)),
-        "percent": ("error", text("percentage-like column has non-percentage value at ", place)),
-        "numeric": ("error", text("numeric-like column has non-numeric value at ", place)),
-        "semantic_mismatch": ("warning", text("body cell at ", place, " does not match header '", F.col("header"), "'")),
-        "weak_text": ("warning", text("body cell at ", place, " looks generic for header '", F.col("header"), "'")),
+        "empty": ("error", phrase("empty body cell at ", place)),
+        "percent": ("error", phrase("percentage-like column has non-percentage value at ", place)),
+        "numeric": ("error", phrase("numeric-like column has non-numeric value at ", place)),
+        "semantic_mismatch": ("warning", phrase("body cell at ", place, " does not match header '", F.col("header"), "'")),
+        "weak_text": ("warning", phrase("body cell at ", place, " looks generic for header '", F.col("header"), "'")),
     }
-    told = None
-    for issue, (severity, message) in named.items():
-        one = at(4, F.col("ordinal"), severity, message)
-        told = F.when(F.col("issue") == issue, one) if told is None else told.when(F.col("issue") == issue, one)
-    out = out.unionByName(body.select(TABLE, told.alias("m")))
-    t = folded(cells, *keep).withColumns({"__k": keyword_array(F.col("domain"), F.col("topic"), scenario)})
-    texts = lambda role: F.filter(F.transform(F.filter("cells", lambda c: c["role"] == role), lambda c: F.trim(c["text"])), lambda x: x != "")
-    counted = lambda role: F.size(F.filter("cells", lambda c: c["role"] == role))
-    named_heads = texts("header")
-    twice = F.size(named_heads) - F.size(F.array_distinct(named_heads))
-    generic = F.size(F.filter(named_heads, lambda x: x.isin(*GENERIC_HEADERS)))
-    signal = F.exists(named_heads, lambda x: F.exists("__k", lambda k: F.contains(x, k)) | (jaccard(tokens(x), tokens(F.col("topic"))) > 0))
-    t = t.join(s, TABLE)
-    whole = [
-        F.when(F.col("simple") & (F.size(texts("title")) > 0), at(1, zero, "warning", text("simple table unexpectedly contains a title row"))),
-        F.when(~F.col("simple") & (counted("title") == 0), at(1, zero, "error", text("complex table is missing a title cell")))
-        .when(~F.col("simple") & (F.size(texts("title")) == 0), at(1, zero, "error", text("complex table title is empty")))
-        .when(~F.col("simple") & (F.col("title_score") == 0), at(1, zero, "error", text("complex table title does not contain or align with the planned topic")))
-        .when(~F.col("simple") & (F.col("title_score") == 0.75), at(1, zero, "warning", text("complex table title is related to the planned topic but not exact"))),
-        F.when(counted("header") == 0, at(2, zero, "error", text("table has no header cells"))),
-        F.when(twice > 0, at(3, zero, "warning", text("header duplication detected in ", twice.cast("string"), " header cells"))),
-        F.when(generic > 0, at(3, zero + 1, "warning", text("generic header text detected in ", generic.cast("string"), " header cells"))),
-        F.when((counted("header") > 0) & ~signal & (F.size("__k") > 0), at(3, zero + 2, "warning", text("headers do not contain topic or semantic scenario signals"))),
-        F.when(counted("body") == 0, at(4, zero, "warning", text("table has no body cells"))),
-        F.when(F.col("topic_score") < 0.35, at(5, zero, "error", text("table content is not aligned with the planned topic or semantic scenario"))).when(F.col("topic_score") < 0.6, at(5, zero, "warning", text("weak topic or semantic scenario consistency"))),
-        F.when((F.col("errors") == 0) & (F.col("score") < MINIMUM), at(6, zero, "warning", F.format_string("overall filling score %.3f below threshold %.3f", F.col("score") + 1e-9, F.lit(MINIMUM)))),
-    ]
-    out = out.unionByName(t.select(TABLE, F.explode(F.array_compact(F.array(*whole))).alias("m")))
-    order = Window.partitionBy(TABLE, "m.severity").orderBy("m.phase", "m.ordinal")
-    return out.select(TABLE, F.col("m.severity").alias("severity"), (F.row_number().over(order) - 1).alias("seq"), F.col("m.message").alias("message"))
+    out = None
+    for name, (severity, message) in named.items():
+        one = message_at(4, F.col("ordinal"), severity, message)
+        out = F.when(issue == name, one) if out is None else out.when(issue == name, one)
+    return out
+
+
+def messages(cells: DataFrame) -> DataFrame:
+    """table_id, severity, seq, message: what is wrong with a table as texts, errors and warnings each in the order found.
+
+    They are told in the pass that scores the tables.
+    """
+    return table_scores(cells, told=True).select(TABLE, F.inline_outer("messages")).where("severity IS NOT NULL")
 
 
 def policy(scores: DataFrame, valid: DataFrame, model: DataFrame | None = None) -> DataFrame:
@@ -238,19 +271,23 @@ def select_best(candidates: DataFrame, request: str, key: str) -> DataFrame:
     return best.select(request, (-F.col("b.__k")).alias(key), F.col("b.ranking").alias("ranking"), F.col("b.overall").alias("overall"))
 
 
-def repair_decision(scores: DataFrame, told: DataFrame) -> DataFrame:
+def repair_decision(scores: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """table_id, action, cells, columns, codes: what to do about a table that does not pass.
 
-    ``told``: ``messages``.  Located messages name the cells to repair, errors before warnings, and their columns.
+    ``told``: ``messages``; without them the scores have a column of them.  Located messages name the cells to repair, errors
+    before warnings, and their columns.
     """
-    at = issue_location(F.col("message"))
-    rank = F.when(F.col("severity") == "error", 0).otherwise(1)
-    one = told.select(TABLE, F.struct(rank.alias("r"), "seq", at.alias("at"), issue_code(F.col("message")).alias("code")).alias("m"))
-    listed = one.groupBy(TABLE).agg(F.array_sort(F.collect_list("m")).alias("m"))
-    where = F.transform(F.filter("m", lambda x: x["at"].isNotNull()), lambda x: x["at"])
-    found = listed.select(TABLE, where.alias("cells"), F.transform("m", lambda x: x["code"]).alias("codes"))
     none = F.array().cast("array<struct<row:int,col:int>>")
-    t = scores.select(TABLE, "title_score", "header_score").join(found, TABLE, "left").withColumns({"cells": F.coalesce("cells", none), "codes": F.coalesce("codes", F.array().cast("array<string>"))})
+    at = lambda message: F.struct(issue_location(message).alias("at"), issue_code(message).alias("code"))
+    if told is None:
+        t = scores.select(TABLE, "title_score", "header_score", F.transform("messages", lambda x: at(x["message"])).alias("m"))
+    else:
+        rank = F.when(F.col("severity") == "error", 0).otherwise(1)
+        one = told.select(TABLE, F.struct(rank.alias("r"), "seq", at(F.col("message")).alias("m")).alias("m"))
+        listed = one.groupBy(TABLE).agg(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["m"]).alias("m"))
+        t = scores.select(TABLE, "title_score", "header_score").join(listed, TABLE, "left")
+    where = F.transform(F.filter("m", lambda x: x["at"].isNotNull()), lambda x: x["at"])
+    t = t.withColumns({"cells": F.coalesce(where, none), "codes": F.coalesce(F.transform("m", lambda x: x["code"]), F.array().cast("array<string>"))})
     action = F.when(F.col("title_score") <= 0, "rebuild_schema").when(F.col("header_score") <= 0, "repair_header").when(F.size("cells") > 0, "repair_cells").otherwise("repair_body")
     columns = F.array_sort(F.array_distinct(F.transform("cells", lambda x: x["col"])))
     t = t.withColumns({"action": action, "columns": columns})
@@ -259,7 +296,7 @@ def repair_decision(scores: DataFrame, told: DataFrame) -> DataFrame:
 
 def repair_action(scores: DataFrame, cells: DataFrame) -> DataFrame:
     """table_id, action, targets (how many cells): ``repair_decision`` in short."""
-    return repair_decision(scores, messages(cells)).select(TABLE, "action", F.size("cells").alias("targets"))
+    return repair_decision(scores, None if "messages" in scores.columns else messages(cells)).select(TABLE, "action", F.size("cells").alias("targets"))
 
 
 def structure_repair(valid: DataFrame) -> DataFrame:
@@ -280,11 +317,19 @@ def low_text(limit: int, below: float, places: int) -> Column:
     return F.array_join(F.transform(low, lambda x: F.concat(x["d"], F.lit(":"), shown(x))), ",")
 
 
-def error_texts(scores: DataFrame, told: DataFrame, most: int = 5) -> DataFrame:
-    """table_id, error: one line on a table that failed: scores, low dimensions, then the first errors (else warnings)."""
-    listed = told.where(F.col("seq") < most).groupBy(TABLE, "severity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("t"))
-    both = listed.groupBy(TABLE).agg(F.max(F.when(F.col("severity") == "error", F.col("t"))).alias("e"), F.max(F.when(F.col("severity") == "warning", F.col("t"))).alias("w"))
-    t = scores.join(both, TABLE, "left").withColumn("__low", low_text(3, 0.6, 3))
+def error_texts(scores: DataFrame, told: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """table_id, error: one line on a table that failed: scores, low dimensions, then the first errors (else warnings).
+
+    ``told``: ``messages``; without them the scores have a column of them.
+    """
+    if told is None:
+        of = lambda severity: F.nullif(F.array_join(F.transform(F.filter("messages", lambda x: (x["severity"] == severity) & (x["seq"] < most)), lambda x: x["message"]), "; "), F.lit(""))
+        t = scores.withColumns({"e": of("error"), "w": of("warning")})
+    else:
+        listed = told.where(F.col("seq") < most).groupBy(TABLE, "severity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("t"))
+        both = listed.groupBy(TABLE).agg(F.max(F.when(F.col("severity") == "error", F.col("t"))).alias("e"), F.max(F.when(F.col("severity") == "warning", F.col("t"))).alias("w"))
+        t = scores.join(both, TABLE, "left")
+    t = t.withColumn("__low", low_text(3, 0.6, 3))
     head = F.format_string("invalid table filling (score=%.3f, title=%.3f, header=%.3f, body=%.3f, topic_consistency=%.3f", *[F.col(c) + 1e-9 for c in ("score", "title_score", "header_score", "body_score", "topic_score")])
     low = F.when(F.col("__low") != "", F.concat(F.lit(", low_dimensions="), F.col("__low"))).otherwise("")
     return t.select(TABLE, F.concat(head, low, F.lit("): "), F.coalesce("e", "w", F.lit("no detailed filling issue reported"))).alias("error"))

@@ -215,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "table_scores": on_planned(S.table_scores),
     "score_policy": on_planned(policies),
     "select_best": on_planned(lambda c: S.select_best(policies(c).withColumn("request", F.col("table_id") % 100), "request", "table_id")),
-    "repair_action": on_planned(lambda c: S.repair_action(S.table_scores(c), c)),
+    "repair_action": on_planned(lambda c: S.repair_action(S.table_scores(c, told=True), c)),
     "low_dimensions": on_planned(lambda c: S.low_dimensions(S.table_scores(c))),
     "structure_scores": on_valid(lambda c: E.structure_scores(c, X.predictions(c))),
     "text_accuracy": on_valid(lambda c: E.text_accuracy(c, X.predictions(c))),
