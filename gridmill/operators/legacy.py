@@ -71,12 +71,17 @@ def missing_cells(tables: DataFrame, seed: str) -> DataFrame:
 
     Both places are bound by the number of rows, as in the older generator, so a column may lie outside of the table.
     """
+    return tables.select("table_id", F.inline(missing_of(seed))).distinct()
+
+
+def missing_of(seed: str) -> Column:
+    """The places (row, col) that ``missing_cells`` draws for a table, some of them twice; empty where it draws none."""
     n = F.floor(F.log2((F.col("rows") * F.col("cols")).cast("double")) + 1e-12).cast("int")
     unit = lambda what, i: draw(seed, F.col("table_id"), what, i) / F.lit(float(1 << 32))
     row = lambda i: ((F.col("rows") - 1 - HEADER_ROWS) * unit("missing row", i) + HEADER_ROWS).cast("int")
     col = lambda i: ((F.col("rows") - 1) * unit("missing col", i)).cast("int")
-    some = tables.where(n >= 1)
-    return some.select("table_id", F.inline(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(row(i).alias("row"), col(i).alias("col"))))).distinct()
+    drawn = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(row(i).alias("row"), col(i).alias("col")))
+    return F.when(n >= 1, drawn).otherwise(F.array().cast("array<struct<row:int,col:int>>"))
 
 
 def number_text(seed: str, *keys) -> Column:
@@ -100,8 +105,7 @@ def cells(tables: DataFrame, seed: str, chinese: str, english: str) -> DataFrame
 
     ``chinese`` and ``english``: the corpora that texts are cut from, each of LONGEST_TEXT characters or more.
     """
-    t = span_layout(tables, seed)
-    t = t.join(missing_cells(tables, seed).groupBy("table_id").agg(F.collect_set(F.struct("row", "col")).alias("missing")), "table_id", "left")
+    t = span_layout(tables, seed).withColumn("missing", missing_of(seed))
     spot = t.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
     row, col = F.col("row"), F.col("col")
     over = lambda a, at: F.exists(a, lambda x: (x["start"] <= at) & (at < x["start"] + x["length"]))
