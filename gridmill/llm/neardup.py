@@ -23,6 +23,9 @@ probability at the root: the 12 trees miss it with 6e-8 where nodes are small or
 the threshold (mean minus five standard deviations: 3e-7), so full sets of small nodes meet only where they are
 likely to link.  Comparing a node on full sets takes time with the square of its classes, but no rows.
 
+Texts are never shuffled for links: a scan keeps the documents whose id is in a bitmap of the wanted ones, and their
+sets travel by the class that the set itself names.  Nodes are counted without samples, which most rows never need.
+
 Defined results: a null text or one without words has an empty set, n_shingles 0, and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows that share a doc_id are judged each by its
 own text; a null doc_id belongs to the class of its set: it takes that class's component if a document with an id
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, discard, mixed, pieces, raw, stored, word_hashes
+from .common import GOLDEN, discard, mixed, pieces, raw, release, stored, word_hashes
 
 WORDS, PERCENT = 5, 75
 TREES, SAMPLES = 12, 48
@@ -55,6 +58,8 @@ LEADERS = ((0, 0), (1, 3))
 BLOCK = 2048
 LINKS_A_TASK = 1_000_000
 SALT_ROWS, LEADER_ROWS = 256, 4096
+#: Bits of a bitmap of ids: eight an id, between these; one part of it.
+LEAST_BITS, MOST_BITS, PART_BITS = 18, 27, 15
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -243,19 +248,19 @@ def open_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     other = F.when(minor, F.sequence(F.lit(0), minors + majors - 1)).otherwise(F.sequence(F.lit(0), minors - 1))
     dealt = members.select("node", "rep", "label", own.alias("own"), F.explode(other).alias("other"))
     dealt = dealt.select("node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "label")
-    met = dealt.join(full_sets(members.select("rep").distinct(), classes, docs, words), "rep")
+    met = dealt.join(full_sets(members.select("rep"), classes, docs, words), "rep")
     return met.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def rooted(classes: DataFrame) -> DataFrame:
-    """(node, tree, rep, sig): every class in the first node of each tree; ``classes``: rep, roots, sig."""
-    members = classes.select("rep", "sig", F.posexplode("roots").alias("tree", "root"))
-    return members.select(F.xxhash64("tree", "root").alias("node"), "tree", "rep", "sig")
+    """(node, tree, rep): every class in the first node of each tree; ``classes``: rep, roots."""
+    members = classes.select("rep", F.posexplode("roots").alias("tree", "root"))
+    return members.select(F.xxhash64("tree", "root").alias("node"), "tree", "rep")
 
 
 def branched(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS, fanout: int = FANOUT) -> DataFrame:
-    """(node, tree, rep, sig) of the children of nodes: each class by fresh minwise tokens of its whole set;
-    ``members``: node, tree, rep; ``classes``: rep, doc_id, set_key, sig.
+    """(node, tree, rep) of the children of nodes: each class by fresh minwise tokens of its whole set;
+    ``members``: node, tree, rep; ``classes``: rep, doc_id, set_key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,34 +277,51 @@ def branched(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                         trees.append(x["tree"])
                         at.append(k)
             of = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(trees, pa.int32()), *(b.column(c).take(of) for c in ("rep", "sig"))], ["node", "tree", "rep", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(trees, pa.int32()), b.column("rep").take(of)], ["node", "tree", "rep"])
 
-    wanted = members.groupBy("rep").agg(F.collect_set(F.struct("node", "tree")).alias("nodes")).join(classes, "rep")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    return own.select("rep", "sig", "set_key", "nodes", "text").mapInArrow(run, "node long, tree int, rep long, sig binary").distinct()
+    wanted = members.groupBy("rep").agg(F.collect_set(F.struct("node", "tree")).alias("nodes")).join(classes.select("rep", "doc_id", "set_key"), "rep")
+    own = among(docs, members, classes).join(wanted, "doc_id")
+    return own.select("rep", "set_key", "nodes", "text").mapInArrow(run, "node long, tree int, rep long").distinct()
 
 
 def key_of(codes: np.ndarray) -> bytes:
     return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
 
 
+def among(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, text of the documents that name classes ``reps`` (rep), and few others: those whose id is in a bitmap."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * classes.count()).bit_length()))
+    place = lambda doc_id: F.shiftrightunsigned(F.xxhash64(doc_id), 64 - bits)
+    ids = classes.join(reps.select("rep").distinct(), "rep", "left_semi").select(place("doc_id").alias("at"))
+    parts = ids.groupBy(F.shiftright("at", PART_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << PART_BITS) - 1)).alias("bits"))
+    held = np.zeros((1 << bits - PART_BITS, (1 << PART_BITS) // 8), np.uint8)
+    for r in parts.toLocalIterator():
+        held[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(held.reshape(-1))
+
+    @F.arrow_udf("boolean")
+    def there(at: pa.Array) -> pa.Array:
+        x = np.asarray(at)
+        return pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.where(there(place("doc_id")))
+
+
 def full_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(rep, codes): the whole sets of some classes, from the text of one document each; ``classes``: rep, doc_id, set_key."""
+    """(rep, codes): the whole sets of classes ``reps`` (rep) and few others, one row each; ``classes``: rep, doc_id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1_000_000):
-            found = [shingles(t, words) for t in b.column("text").to_pylist()]
-            right = pa.array([key_of(s) == k for s, k in zip(found, b.column("set_key").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("rep").filter(right), pa.array([s.tobytes() for s in found], pa.binary()).filter(right)], ["rep", "codes"])
+            found = [s for s in (shingles(t, words) for t in b.column("text").to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(key_of, found)), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_key", "codes"])
 
-    wanted = reps.join(classes.select("rep", "doc_id", "set_key"), "rep")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("rep", "set_key", "text")
-    # Rows that share an id but not the set of the class are left out, and of those with the same text all but one.
-    return own.distinct().mapInArrow(sets, "rep long, codes binary")
+    own = among(docs, reps, classes).select("text").mapInArrow(sets, "set_key binary, codes binary")
+    return own.groupBy(F.xxhash64("set_key").alias("rep")).agg(F.first("codes").alias("codes"))
 
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold; ``classes``: rep, doc_id, set_key."""
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold; ``classes``: rep, doc_id."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, held = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -317,12 +339,12 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int =
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, docs, words)
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")), classes, docs, words)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    right = salted.join(full, salted["b"] == full["rep"]).select("a", "b", "salt", "codes")
-    left = salts.join(full, salts["a"] == full["rep"]).select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "codes")
-    met = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    right = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("rep"))
+    left = salts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("rep"))
+    # One join for both sides: sets are read and dealt by their class once.
+    met = left.unionByName(right).join(full, "rep").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return met.select("a", "b", "codes").mapInArrow(compare, "a long, b long")
 
 
@@ -409,9 +431,10 @@ def joined(classes: DataFrame, docs: DataFrame, percent: int, words: int, small:
         if not pairs.isEmpty():
             take(linked(pairs, classes, docs, percent, words))
         discard(pairs)
+        release(docs.sparkSession)
 
     def opened(members: DataFrame) -> DataFrame:
-        """Members (node, tree, rep, sig) of nodes with open pairs: adds label, n, apart (how many), major (label), n_major."""
+        """Members (node, tree, rep) of nodes with open pairs: adds label, n, apart (how many), major (label), n_major."""
         named = members.withColumn("label", F.col("rep"))
         if labels is not None:
             named = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -427,12 +450,12 @@ def joined(classes: DataFrame, docs: DataFrame, percent: int, words: int, small:
             return leader_pairs(some.withColumn("label", F.col("rep")))
         return leader_pairs(some.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
 
-    plain = ["node", "tree", "rep", "sig"]
+    plain = ["node", "tree", "rep"]
     members = rooted(classes)
     for level in range(depth + 1):
         # Rows alone in their node go no further.
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = stored(members.join(sizes, "node"))
+        held = stored(members.join(sizes, "node").join(classes.select("rep", "sig"), "rep"))
         large = held.where(F.col("n") > small)
         any_large = not large.isEmpty()
         pairs = stored(node_pairs(held.where(F.col("n") <= small)).groupBy("a", "b").agg(F.max("first").alias("first")))
