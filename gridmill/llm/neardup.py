@@ -23,8 +23,8 @@ probability at the root: the 12 trees miss it with 6e-8 where nodes are small or
 the threshold (mean minus five standard deviations: 3e-7), so full sets of small nodes meet only where they are
 likely to link.  Comparing a node on full sets takes time with the square of its classes, but no rows.
 
-Texts are never shuffled for links: a scan keeps the documents whose id is in a bitmap of the wanted ones, and their
-sets travel by the class that the set itself names.  Nodes are counted without samples, which most rows never need.
+Texts are not shuffled to check links: a scan keeps the documents whose id is in a bitmap of the wanted ones, and their
+sets travel by the class that the set itself names.  Where classes branch (4), their texts alone are shuffled.  Nodes are counted without samples, which most rows never need.
 
 Defined results: a null text or one without words has an empty set, n_shingles 0, and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows that share a doc_id are judged each by its
